@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from lectern.llm import quality_rules
+from lectern.llm import mixing, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_mixing": mixing.query,
         "op7_quality_rules": quality_rules.query,
+        "op10_sharding": sharding.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_mixing": mixing.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
     }
