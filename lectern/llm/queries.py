@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, quality_rules, sharding
+from lectern.llm import mixing, packing, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
         "op7_quality_rules": quality_rules.query,
+        "op8_packing": packing.query,
         "op10_sharding": sharding.query,
     }
 
