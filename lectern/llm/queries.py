@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, packing, quality_rules, sharding
+from lectern.llm import mixing, near_dedup, packing, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
+        "op2_near_dedup": near_dedup.query,
         "op7_quality_rules": quality_rules.query,
         "op8_packing": packing.query,
         "op10_sharding": sharding.query,
@@ -17,5 +18,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.ORACLE,
+        "op2_near_dedup": near_dedup.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
     }
