@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lectern.llm import mixing, near_dedup, packing, quality_rules, sharding
+from lectern.llm import fingerprints, mixing, near_dedup, packing, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
         "op2_near_dedup": near_dedup.query,
+        "op5_url_filter": url_filter.query,
+        "op6_fingerprints": fingerprints.query,
         "op7_quality_rules": quality_rules.query,
         "op8_packing": packing.query,
         "op10_sharding": sharding.query,
@@ -19,5 +21,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_mixing": mixing.ORACLE,
         "op2_near_dedup": near_dedup.ORACLE,
+        "op5_url_filter": url_filter.ORACLE,
+        "op6_fingerprints": fingerprints.ORACLE,
         "op7_quality_rules": quality_rules.ORACLE,
     }
