@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lectern.llm import fingerprints, mixing, near_dedup, packing, quality_rules, sharding, url_filter
+from lectern.llm import fingerprints, langid, mixing, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
         "op2_near_dedup": near_dedup.query,
+        "op4_toxicity": toxicity.query,
         "op5_url_filter": url_filter.query,
         "op6_fingerprints": fingerprints.query,
         "op7_quality_rules": quality_rules.query,
         "op8_packing": packing.query,
+        "op9_language_id": langid.query,
         "op10_sharding": sharding.query,
     }
 

@@ -50,7 +50,12 @@ def groups(texts: list[bytes]):
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the lower-cased texts, end to end, and each text's number of words.
+    """Hashes of all words of the lower-cased texts, end to end, and each text's number of words."""
+    return word_spans(texts)[:2]
+
+
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes, then each word's start and stop in the texts joined by one blank, and those bytes, lower-cased.
 
     A word's hash is a polynomial over its bytes modulo 2 ** 64, taken as a difference of
     running sums and shifted back to the word's start, then finalised together with its length.
@@ -65,4 +70,4 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     value = mix(mix(value) + (stops - starts).astype(U))
     text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     upto = np.searchsorted(starts, text_ends)
-    return value, np.diff(upto, prepend=0)
+    return value, np.diff(upto, prepend=0), starts, stops, data
