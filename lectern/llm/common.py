@@ -29,21 +29,27 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+def shared_folder(spark) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the one that was set on the context.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset and the master
-    is local (tests) does this make a folder of its own.
+    Only where neither is set and the master is local (tests) does this make a folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        sc.setCheckpointDir(folder)
+    have = sc._jsc.sc().getCheckpointDir()
+    if have.isDefined():
+        return have.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -34,6 +34,8 @@ RIDGE = 1e-2
 TRAIN_EACH = 500
 TRAIN_MOST = 4000
 GROUP_CHARS = 1_500_000
+#: Below this score no one-versus-rest function claims the text as its language.
+LEAST = 0.5
 
 _letter = None
 
@@ -158,6 +160,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
+def recognised(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float = LEAST) -> DataFrame:
+    """The rows of docs, with all their columns, in one of `languages` (None: any learned one) with a score of `least` or more."""
+    if not model.languages:
+        return docs.where(F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
+
+    def run(batches):
+        m = Model(*shared.value)
+        wanted = set(m.languages if languages is None else languages)
+        for batch in batches:
+            langs, scores = m.decide(batch.column("text").to_pylist())
+            yield batch.take(pa.array([i for i, (x, s) in enumerate(zip(langs, scores, strict=True)) if x in wanted and s >= least], pa.int64()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = held_out(4, 2)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lectern.llm import fingerprints, langid, mixing, near_dedup, packing, quality_rules, sharding, toxicity, url_filter
+import corpus_pipeline
+from lectern.llm import fingerprints, langid, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.query,
         "op2_near_dedup": near_dedup.query,
+        "op3_quality_classifier": quality_classifier.query,
         "op4_toxicity": toxicity.query,
         "op5_url_filter": url_filter.query,
         "op6_fingerprints": fingerprints.query,
@@ -16,6 +18,7 @@ def queries() -> dict:
         "op8_packing": packing.query,
         "op9_language_id": langid.query,
         "op10_sharding": sharding.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -49,25 +49,30 @@ def groups(texts: list[bytes]):
             at, size = k + 1, 0
 
 
+def spans_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes.
+
+    It is a polynomial over the bytes modulo 2 ** 64, taken as a difference of running sums and
+    shifted back to the span's start, then finalised together with the length.
+    """
+    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)))))
+    value = (sums[stops] - sums[starts]) * powers(INVERSE, len(data))[starts]
+    return mix(mix(value) + (stops - starts).astype(U))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the lower-cased texts, end to end, and each text's number of words."""
     return word_spans(texts)[:2]
 
 
 def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word_hashes, then each word's start and stop in the texts joined by one blank, and those bytes, lower-cased.
-
-    A word's hash is a polynomial over its bytes modulo 2 ** 64, taken as a difference of
-    running sums and shifted back to the word's start, then finalised together with its length.
-    """
+    """word_hashes, then each word's start and stop in the texts joined by one blank, and those bytes, lower-cased."""
     joined = b" ".join(texts) + b" "
     data = np.frombuffer(joined.lower(), dtype=np.uint8)
     space = IS_SPACE[data]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     stops = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1
-    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)))))
-    value = (sums[stops] - sums[starts]) * powers(INVERSE, len(data))[starts]
-    value = mix(mix(value) + (stops - starts).astype(U))
+    value = spans_of(data, starts, stops)
     text_ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     upto = np.searchsorted(starts, text_ends)
     return value, np.diff(upto, prepend=0), starts, stops, data

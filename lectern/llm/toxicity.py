@@ -253,6 +253,20 @@ def _spans(text: bytes, starts: np.ndarray, stops: np.ndarray) -> list[dict]:
     return out
 
 
+def _judge(chain: Chain, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's score and number of tokens; each token's marginal and its bytes (from, to) in its text."""
+    emission, counts, where = [np.zeros(0)], [np.zeros(0, dtype=np.int64)], [np.zeros((2, 0), dtype=np.int64)]
+    for lo, hi, f, n, starts, stops in tokens(texts):
+        emission.append(chain.emissions(f))
+        counts.append(n)
+        base = np.repeat(np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])[:-1], n)
+        where.append(np.stack([starts - base, stops - base]))
+    n = np.concatenate(counts)
+    p = marginals(np.concatenate(emission).astype(float), n, chain.steps)
+    s = 1 / (1 + np.exp(-np.clip(document_features(p, n) @ chain.document, -30, 30)))
+    return s, n, p, *np.concatenate(where, axis=1)
+
+
 def score(docs: DataFrame, chain: Chain | None, spans: bool = False) -> DataFrame:
     """doc_id, score, predicted (and spans: array of start, stop, text) for each row of docs (doc_id, text)."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -263,31 +277,16 @@ def score(docs: DataFrame, chain: Chain | None, spans: bool = False) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            emission, counts, where = [], [], []
-            for lo, hi, f, n, starts, stops in tokens(texts):
-                emission.append(m.emissions(f))
-                counts.append(n)
-                if spans:
-                    base = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])[:-1]
-                    where.append((starts - np.repeat(base, n), stops - np.repeat(base, n)))
-            if not texts:
-                continue
-            counts = np.concatenate(counts)
-            p = marginals(np.concatenate(emission).astype(float), counts, m.steps)
-            s = 1 / (1 + np.exp(-np.clip(document_features(p, counts) @ m.document, -30, 30)))
+            s, counts, p, a, b = _judge(shared.value, texts)
             columns = [batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             names = ["doc_id", "score", "predicted"]
             if spans:
-                a, b = (np.concatenate([w[k] for w in where]) for k in (0, 1))
-                ends = np.cumsum(counts)
                 found = []
-                for text, hi_, n in zip(texts, ends.tolist(), counts.tolist(), strict=True):
-                    hit = np.flatnonzero(p[hi_ - n : hi_] >= 0.5) + hi_ - n
-                    cut = np.flatnonzero(np.diff(hit) > 1) + 1 if len(hit) else np.zeros(0, dtype=int)
-                    runs = np.split(hit, cut) if len(hit) else []
+                for text, end, n in zip(texts, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                    hit = np.flatnonzero(p[end - n : end] >= 0.5) + end - n
+                    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else []
                     found.append(_spans(text, np.array([a[r[0]] for r in runs], dtype=int), np.array([b[r[-1]] for r in runs], dtype=int)))
                 columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())]))))
                 names.append("spans")
@@ -296,6 +295,20 @@ def score(docs: DataFrame, chain: Chain | None, spans: bool = False) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, chain: Chain | None) -> DataFrame:
+    """The rows of docs, with all their columns, that are not predicted toxic."""
+    if chain is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+
+    def run(batches):
+        for batch in batches:
+            texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
+            yield batch.take(pa.array(np.flatnonzero(_judge(shared.value, texts)[0] < 0.5)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
