@@ -1 +1,64 @@
-"""placeholder"""
+"""The corpus pipeline: toxicity, language ID, near duplicates, mixing and packing, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), where docs are the rows that the stage before kept, and
+returns a DataFrame; all but the last return the columns of documents. Between stages, rows are
+written as Parquet to the shared folder and read again, so a lost executor costs no finished stage.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lectern.llm import langid, mixing, near_dedup, packing, toxicity
+from lectern.llm.common import shared_folder
+from lectern.llm.samples import held_out
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic by a chain fit on the labelled ones among them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(5, 0))
+    return toxicity.clean(docs, toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic")))
+
+
+def in_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; those without letters, or that no language claims, go."""
+    return langid.recognised(docs, langid.train(docs.select("doc_id", "text", "lang").where(~held_out(4, 2))))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near duplicates (five words, similarity 0.8)."""
+    return near_dedup.deduplicated(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, laid out by output shard."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 4096 tokens."""
+    return packing.pack(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("language_id", in_known_language),
+    ("near_dedup", one_of_each_group),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: Trained models decide in the first stages, which SQL cannot express.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+    return docs
