@@ -21,13 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD, materialise
+from lectern.llm.common import BROADCAST_ROWS, WORD, lookup_join, materialise
 
 WIDTH = 5
 #: Hashes whose first hex digit is below this are kept: one in eight.
 BELOW = "2"
 RANGE = 1000
 QUANTILES = 256
+#: At most so many ranges' first texts are broadcast; more are joined by a shuffle.
+HEAD_ROWS = 2000
 
 
 def sketch(text: str, width: int = WIDTH, below: str = BELOW) -> Column:
@@ -83,12 +85,14 @@ def edited(docs: DataFrame, rows: int = RANGE) -> DataFrame:
     heads = dealt.groupBy("range").agg(F.max("doc_id").alias("top"))
     heads = materialise(heads.withColumn("leads", F.coalesce(F.lag("range").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(-1, -1)), F.max("range").over(Window.partitionBy(F.lit(0))))))
     follow = heads.select(F.col("range").alias("from"), F.col("leads").alias("range"))
-    top = dealt.join(heads.select(F.col("range").alias("__r"), "top"), (F.col("range") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    n_ranges = heads.count()
+    top = lookup_join(dealt, heads.select(F.col("range").alias("__r"), "top"), (F.col("range") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("top")), n_ranges)
     first = top.groupBy("range").agg(F.min("text").alias("head"))
     heads = materialise(follow.join(first, "range").select(F.col("from").alias("__from"), "head"))
     order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    ahead = dealt.withColumn("sketch", sketch("text")).select("*", F.lead("text").over(order).alias("__text"), F.lead("sketch").over(order).alias("__sketch"))
-    both = ahead.join(heads.withColumn("head_sketch", sketch("head")), F.col("range") == F.col("__from"))
+    # Sketches are made behind the shuffle, which then carries texts only.
+    ahead = dealt.repartition("range").withColumn("sketch", sketch("text")).select("*", F.lead("text").over(order).alias("__text"), F.lead("sketch").over(order).alias("__sketch"))
+    both = lookup_join(ahead, heads.withColumn("head_sketch", sketch("head")), F.col("range") == F.col("__from"), n_ranges if n_ranges <= HEAD_ROWS else BROADCAST_ROWS + 1)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     after = F.coalesce("__text", "head")
