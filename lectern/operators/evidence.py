@@ -42,7 +42,7 @@ def raised_references(objects: DataFrame) -> DataFrame:
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     o = o.withColumn("b", F.last("__base", ignorenulls=True).over(upto)).withColumn("p_right", F.lag("right").over(order)).withColumn("p_text", F.lag("text").over(order))
     # A lone stop or quote belongs to the words before it.
-    o = o.withColumn("w", F.last(F.when(F.col("text").rlike(r"\w"), F.struct("text", "bottom", "top")), ignorenulls=True).over(upto))
+    o = o.withColumn("w", F.last(F.when(~thin & F.col("text").rlike(r"\w"), F.struct("text", "bottom", "top")), ignorenulls=True).over(upto))
     joined = F.when(F.col("b.text").rlike(r"\w"), F.col("b.text")).otherwise(F.concat(F.coalesce(F.col("w.text"), F.lit("")), F.regexp_replace("b.text", r"(?U)^\s+", "")))
     anchor = X.strip(joined)
     base_h = F.when(F.col("b.text").rlike(r"\w"), F.col("b.top") - F.col("b.bottom")).otherwise(F.coalesce(F.col("w.top") - F.col("w.bottom"), F.col("b.top") - F.col("b.bottom")))

@@ -21,7 +21,7 @@ def n_columns(grid: str) -> Column:
 
 def conversion_table(grid: str) -> Column:
     """FL14."""
-    head = F.transform(F.element_at(F.col(grid), 1), lambda c: F.lower(F.trim(c)))
+    head = F.transform(F.get(F.col(grid), F.lit(0)), lambda c: F.lower(F.trim(c)))
     pairs = F.lit(False)
     for a, b in L.CONVERSION_HEADERS:
         pairs = pairs | (head == F.array(F.lit(a), F.lit(b)))

@@ -45,6 +45,8 @@ def main(argv: list[str] | None = None) -> int:
         spark = local_session("lectern-cli")
         inputs = readers.files(spark, [readers.resolve(p) for p in args.inputs])
         readers.validate(inputs)
+        if inputs.count() < len(args.inputs):
+            raise LecternError("an input is empty")
         docs = readers.read_texts(inputs).withColumn("doc_id", F.xxhash64("path")).withColumn("name", X.stem(F.col("path")))
         if bad := docs.where("error IS NOT NULL").limit(1).collect():
             raise LecternError(f"{bad[0]['path']}: {bad[0]['error']}")

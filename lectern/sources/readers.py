@@ -18,7 +18,7 @@ SUFFIXES = (".pdf", ".txt", ".rtf")
 
 
 def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, content, length of files; one row each, read where the tasks run."""
+    """path, content, length of files; one row each, read where the tasks run. Spark lists no file of 0 bytes."""
     return spark.read.format("binaryFile").load(path).select("path", "content", "length")
 
 
