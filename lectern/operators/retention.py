@@ -64,3 +64,8 @@ def complete(state: DataFrame, name: str, token: str, files: list[str], now: flo
 def finish(state: DataFrame, token: str) -> DataFrame:
     """OR6: what still runs under the token is incomplete."""
     return state.withColumn("status", F.when((F.col("token") == token) & (F.col("status") == "running"), F.lit("incomplete")).otherwise(F.col("status")))
+
+
+def progress(state: DataFrame) -> DataFrame:
+    """AG12: cases by status."""
+    return state.groupBy("status").agg(F.count(F.lit(1)).alias("n_cases"))
