@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import lexicons as L
-from lectern.operators.reading_order import ORDERED_DDL
+from lectern.operators.folds import by_document
 
 YEAR = r"(?:19|20)\d\d[a-z]?"
 _HEADING = re.compile(r"^\s*#*\s*(?:" + "|".join(map(re.escape, L.REFERENCE_HEADINGS)) + r")(?:\s*\(continued\))?\s*:?\s*$", re.I)
@@ -251,17 +251,17 @@ def filter_citation_blocks(ordered: DataFrame) -> DataFrame:
     """CP2 over ordered blocks (with `stream`): the blocks that stay, with the document's omitted and explanations (AG11)."""
     names = [*schemas.BLOCKS.fieldNames(), "stream"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc, made, omitted, kept = pdf["doc_id"].iloc[0], [], 0, 0
-        for _, part in pdf.sort_values("seq", kind="stable").groupby("stream", sort=True):
-            rows, o, k = filter_document(part[names].to_dict("records"))
-            made += rows
+    def fold(rows: list[dict]) -> list[dict]:
+        made, omitted, kept = [], 0, 0
+        for stream in sorted({r["stream"] for r in rows}):
+            got, o, k = filter_document([r for r in rows if r["stream"] == stream])
+            made += got
             omitted, kept = omitted + o, kept + k
         # A document that loses every block still reports what was omitted, in one empty block.
-        rows = made or [pdf.iloc[0][names].to_dict() | {"text": ""}]
-        return pd.DataFrame(rows, columns=names).assign(doc_id=doc, seq=range(len(rows)), omitted=omitted, explanations=kept)[[*names, "omitted", "explanations"]]
+        made = made or [rows[0] | {"text": ""}]
+        return [r | {"seq": i, "omitted": omitted, "explanations": kept} for i, r in enumerate(made)]
 
-    return ordered.select(*names).groupBy("doc_id").applyInPandas(fold, ORDERED_DDL + ", omitted int, explanations int")
+    return by_document(ordered.select(*names), fold, ordered.select(*names, F.lit(0).alias("omitted"), F.lit(0).alias("explanations")))
 
 
 def reference_scope(blocks: DataFrame) -> DataFrame:

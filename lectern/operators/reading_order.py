@@ -1,7 +1,6 @@
 """Reading order as an ordered fold over a document's blocks (WN6, WN8-WN10, WN13, ST2, SF49, CP3).
 
-Each step depends on what the one before did to the list, so a document is folded in one group by
-applyInPandas; a group is one document, never more.
+Each step depends on what the one before did to the list, so a document is folded as a whole (see folds).
 """
 
 from __future__ import annotations
@@ -9,12 +8,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import lexicons as L
+from lectern.operators.folds import by_document
 
 NARROW, TOP_QUARTER, OVERLAP, PAGE_TOP = 0.48, 0.75, 0.25, 0.80
 SIDEBARS = "Sidebars"
@@ -134,20 +133,17 @@ def order_document(blocks: list[Block]) -> list[Block]:
 
 
 _FIELDS = ["text", "label", "page", "left", "top", "right", "bottom", "page_width", "page_height"]
-ORDERED_DDL = schemas.BLOCKS_DDL + ", stream int"
 
 
 def order_for_narration(blocks: DataFrame) -> DataFrame:
     """CP3: blocks in reading order with `stream` (0 main, 1 sidebars); seq is renewed. Null texts are empty."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        rows = [Block(**r) for r in pdf[_FIELDS].fillna({"text": ""}).to_dict("records")]
-        out = order_document(rows)
-        made = pd.DataFrame([[getattr(b, f) for f in _FIELDS] + [b.stream] for b in out], columns=[*_FIELDS, "stream"])
-        return made.assign(doc_id=pdf["doc_id"].iloc[0], seq=range(len(made)))[[*schemas.BLOCKS.fieldNames(), "stream"]]
+    def fold(rows: list[dict]) -> list[dict]:
+        out = order_document([Block(**{f: r[f] for f in _FIELDS} | {"text": r["text"] or ""}) for r in rows])
+        return [{f: getattr(b, f) for f in _FIELDS} | {"stream": b.stream, "doc_id": rows[0]["doc_id"], "seq": i} for i, b in enumerate(out)]
 
-    return blocks.select(*schemas.BLOCKS.fieldNames()).groupBy("doc_id").applyInPandas(fold, ORDERED_DDL)
+    names = schemas.BLOCKS.fieldNames()
+    return by_document(blocks.select(*names), fold, blocks.select(*names, F.lit(0).alias("stream")))
 
 
 def markdown_line(text: Column, label: Column) -> Column:
