@@ -48,9 +48,16 @@ def shared_folder(spark) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    A checkpoint keeps the size that the planner estimated for its plan, and estimates of joins are
+    products; carried through loops they grow to numbers of millions of digits. So the rows get a new plan
+    without an estimate, and joins are planned by the sizes that adaptive execution measures.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    kept = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
 def lookup_join(df: DataFrame, small: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:

@@ -1,21 +1,59 @@
-"""Connected components of an edge table by repeated contraction towards smaller ids."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
 
+#: At most so many edges (two ids each) are joined up in one task; more by rounds over the cluster.
+SMALL_EDGES = 100_000
 
-def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links -> (node, component): component is the smallest id reachable; only ids with a link appear.
 
-    Each round every node points to its smallest neighbour, pointers are followed a second and a
-    third step, and the edges are renamed to what their ends point to. Rounds end when no edge is left.
+def components(edges: DataFrame, small: int = SMALL_EDGES) -> DataFrame:
+    """(a, b) links -> (node, component): component is the smallest id reachable; only ids with a link appear."""
+    edges = materialise(edges.select("a", "b").where("a <> b").distinct())
+    n = edges.count()
+    if n <= small:
+        return materialise(_in_one_task(edges))
+    return _by_rounds(edges)
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """Union-find over a counted, small number of edges."""
+    kind = dict(edges.dtypes)["a"]
+
+    def run(batches):
+        parent: dict = {}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                p, q = find(a), find(b)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+        nodes = list(parent)
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([find(x) for x in nodes])], ["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """Repeated contraction towards smaller ids.
+
+    Each round every node points to its smallest neighbour, pointers are followed a second and a third step,
+    and the edges are renamed to what their ends point to. Rounds end when no edge is left.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialise(both.where("a <> b").distinct())
+    both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     names = None
     while not both.isEmpty():
         step = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))

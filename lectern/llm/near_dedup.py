@@ -1,20 +1,26 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
 1.  One pass over the texts gives each document its number of distinct shingles, a 128-bit
-    fingerprint of the shingle set, BANDS band keys of ROWS min-hashes each, and 16 bits of every
-    min-hash. Documents with equal sets form a class; its smallest doc_id stands for it.
-2.  Each band bucket proposes its members against its smallest member only, so candidates grow
-    with the members of buckets, not with their squares. Candidates are compared a batch of
-    min-hashes at a time; a pair is dropped as soon as the posterior probability (uniform prior)
-    that its similarity reaches the threshold falls below MISS. Survivors are verified exactly on
-    the full shingle sets of their texts.
-3.  Verified links are contracted to components. Only buckets that still hold more than one
-    component then propose the pairs that cross components, which go through the same two
-    checks. Every banded pair is thus verified or already connected: no link is lost to the stars.
+    fingerprint of the shingle set and a signature: the low 8 bits of BANDS * ROWS min-hashes.
+    Documents with equal sets form a class; its smallest doc_id stands for it.
+2.  A band is ROWS neighbouring bytes of the signature; documents with an equal band share a
+    bucket. In a first round each bucket proposes its members against its smallest member.
+    Candidates are compared a batch of min-hashes at a time; a pair is dropped as soon as the
+    posterior probability (uniform prior) that its similarity reaches the threshold falls below
+    MISS. Survivors are verified exactly on the full shingle sets of their texts, and verified links
+    are contracted to components.
+3.  Further rounds each take a share of the bands; a bucket proposes those members that are not yet
+    in the component of a member drawn at random. So candidates grow with the members of buckets
+    and not with their squares, while a large group comes together in a round or two.
+4.  The pairs of different components that still share a bucket are left. If they are fewer than the
+    buckets' members, all of them are checked. Else bounds that are exact narrow them (see `narrowed`):
+    documents that only resemble a large group have rare shingles of their own, so too few common
+    ones to reach the threshold. Every banded pair is thus checked, ruled out or already connected: no
+    link is lost.
 
 Words are runs of non-white-space, A-Z lower-cased; a document with fewer words than a shingle is
 one shingle of them all. A pair at the threshold shares no band with a probability of
-(1 - 0.8 ** ROWS) ** BANDS = 5e-6.
+(1 - 0.8 ** ROWS) ** BANDS = 2e-5; unlike pairs rarely share one (at similarity 0.2, 1 in 6500).
 
 Defined results: null or empty text has an empty set and links with nothing; rows with a null
 doc_id link with nothing and have a null component; rows with equal doc_id count as one document
@@ -33,13 +39,19 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
 from lectern.llm.components import components
-from lectern.llm.textcore import U, groups, mix, word_hashes
+from lectern.llm.textcore import U, groups, mix, sliced, word_hashes
 
-ROWS, BANDS = 6, 40
+ROWS, BANDS = 8, 60
 HASHES = ROWS * BANDS
 BATCH = 40
 THRESHOLD = 80
 MISS = 1e-7
+#: The bands are dealt to so many rounds of random centres.
+ROUNDS = 8
+#: A shingle that at most so many members of a crowd have is rare.
+RARE = 16
+#: At most so many ids are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
@@ -64,59 +76,47 @@ def shingle_sets(texts: list[bytes], width: int):
             yield np.unique(mix(value + U(k)))
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The low bytes of HASHES min-hashes."""
     x = (shingles >> U(32)).astype(np.uint32)
     low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(x), 2048):
-        np.minimum(low, ((x[None, at : at + 2048] ^ _XOR) * _MUL).min(axis=1), out=low)
-    return low
-
-
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """(documents, HASHES) -> (documents, BANDS) keys."""
-    parts = signatures.reshape(-1, BANDS, ROWS).astype(U)
-    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=U), parts.shape[:2])
-    for j in range(ROWS):
-        key = mix(key * U(0x100000001B3) + parts[:, :, j])
-    return key.view(np.int64)
-
-
-def _binary(rows: np.ndarray) -> pa.Array:
-    """A binary column with one value for each row of a 2-d array."""
-    raw = np.ascontiguousarray(rows)
-    size = raw.shape[1] * raw.itemsize
-    return pa.array([raw[i].tobytes() for i in range(len(raw))], pa.binary()) if size else pa.array([b""] * len(raw), pa.binary())
+    for at in range(0, len(x), 512):
+        np.minimum(low, ((x[None, at : at + 512] ^ _XOR) * _MUL).min(axis=1), out=low)
+    return low.astype(np.uint8)
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, rid, n_shingles, fingerprint (p, q) and signature of each row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         rid = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             n = len(texts)
-            size, prints, low = np.zeros(n, dtype=np.int64), np.zeros((n, 2), dtype=U), np.zeros((n, HASHES), dtype=np.uint32)
+            size, prints, sig = np.zeros(n, dtype=np.int64), np.zeros((n, 2), dtype=U), []
             for i, s in enumerate(shingle_sets(texts, width)):
                 size[i] = len(s)
                 if len(s):
                     prints[i] = mix(s).sum(), mix(s ^ U(0x5851F42D4C957F2D)).sum()
-                    low[i] = min_hashes(s)
-            keys = band_keys(low)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+                sig.append(signature(s).tobytes() if len(s) else b"")
             signed = prints.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.arange(rid, rid + n)), pa.array(size), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy()), bands, _binary(low.astype(np.uint16))],
-                ["doc_id", "rid", "n_shingles", "p", "q", "bands", "sig"],
+                [batch.column("doc_id"), pa.array(np.arange(rid, rid + n)), pa.array(size), pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy()), pa.array(sig, pa.binary())],
+                ["doc_id", "rid", "n_shingles", "p", "q", "sig"],
             )
             rid += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rid long, n_shingles long, p long, q long, bands array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, rid long, n_shingles long, p long, q long, sig binary")
 
 
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
-    """(hashes seen, matches needed) after each batch: fewer matches leave a posterior below miss."""
+    """(hashes seen, matches needed) after each batch: fewer matches leave a posterior below miss.
+
+    Bytes of unlike min-hashes match once in 256, which the threshold takes in.
+    """
     out = []
+    threshold += (1 - threshold) / 256
     for n in range(BATCH, HASHES + 1, BATCH):
         tail, need = 0.0, n + 1
         for m in range(n + 1):
@@ -132,8 +132,8 @@ def _prune(threshold: int):
     steps = least_matches(threshold / 100, MISS)
 
     def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
+        for batch in sliced(batches):
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
             left, seen = np.arange(len(a)), np.zeros(len(a), dtype=np.int64)
             for n, need in steps:
                 seen = seen + (a[left, n - BATCH : n] == b[left, n - BATCH : n]).sum(axis=1)
@@ -147,7 +147,7 @@ def _prune(threshold: int):
 def _exact(width: int, threshold: int):
     def run(batches):
         last: tuple = (None, None)
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for i, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
                 if last[0] != y:
@@ -161,19 +161,153 @@ def _exact(width: int, threshold: int):
     return run
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
-    """Of candidate (a, b), those whose full sets reach the threshold."""
-    kind = dict(docs.dtypes)["doc_id"]
-    sig = reps.select("doc_id", "n_shingles", "sig")
-    a, b = (sig.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    near = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * threshold)
-    near = materialise(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(threshold), f"a {kind}, b {kind}").distinct())
-    ends = near.select(F.col("a").alias("__id")).unionByName(near.select(F.col("b").alias("__id"))).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ends, F.col("doc_id") == F.col("__id"), "left_semi")
+def verified(pairs: DataFrame, sig: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Of candidate (a, b), those whose full sets reach the threshold. sig (doc_id, sig) and texts (doc_id, text) have all ends."""
+    kind = dict(texts.dtypes)["doc_id"]
+    a, b = (sig.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    near = materialise(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_prune(threshold), f"a {kind}, b {kind}"))
     ta = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     tb = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = near.join(ta, "a").join(tb, "b").select("a", "b", "text_a", "text_b")
-    return materialise(both.mapInArrow(_exact(width, threshold), f"a {kind}, b {kind}"))
+    return both.mapInArrow(_exact(width, threshold), f"a {kind}, b {kind}")
+
+
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id is one of ids (doc_id), which is broadcast if its counted rows are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def _near_enough(x: str, y: str, threshold: int):
+    """Sets of so different sizes cannot reach the threshold."""
+    return F.least(x, y) * 100 >= F.greatest(x, y) * threshold
+
+
+def links(reps: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+    """(node, component) of all linked documents of reps (doc_id, n_shingles, sig)."""
+    keys = F.expr(f"transform(sequence(0, {BANDS - 1}), j -> xxhash64(j, substring(sig, {ROWS} * j + 1, {ROWS})))")
+    buckets = reps.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.explode(keys).alias("key"))
+    stars = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("star"), F.max("doc_id").alias("__most")).where("star.doc_id <> __most").drop("__most")
+    crowded = materialise(buckets.join(stars, "key").select("key", "doc_id", "n", F.col("star.doc_id").alias("a"), F.col("star.n").alias("n_a")))
+    members = crowded.count()
+    ids = materialise(crowded.select("doc_id").distinct())
+    sig = materialise(_among(reps.select("doc_id", "sig"), ids))
+    texts = materialise(_among(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL"), ids).dropDuplicates(["doc_id"]))
+    seen = crowded.where("doc_id <> a").where(_near_enough("n", "n_a", threshold)).select("a", F.col("doc_id").alias("b")).distinct()
+    seen = materialise(seen)
+    comp = components(materialise(verified(seen, sig, texts, width, threshold)))
+    crowded = crowded.select("key", "doc_id", "n")
+    k, going = 0, True
+    while True:
+        named = crowded.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        sizes = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+        sizes = sizes.where("m * m > mm").select("key", ((F.col("m") * F.col("m") - F.col("mm")) / 2).alias("open"))
+        crowded = materialise(named.join(sizes, "key").select("key", "doc_id", "n", "c", "open"))
+        left = crowded.groupBy("key").agg(F.first("open").alias("open")).agg(F.sum("open")).first()[0] or 0
+        if not left:
+            return comp
+        last = left <= members or not going
+        if left <= members:
+            x, y = (crowded.select("key", F.col("doc_id").alias(d), F.col("c").alias(f"c_{d}"), F.col("n").alias(f"n_{d}")) for d in "ab")
+            cross = x.join(y, "key").where("a < b AND c_a <> c_b").where(_near_enough("n_a", "n_b", threshold))
+        elif last:
+            cross = narrowed(crowded.select("key", "doc_id", "n", "c"), texts, width, threshold)
+        else:
+            part = crowded.where(F.pmod("key", F.lit(ROUNDS)) == k)
+            centre = part.groupBy("key").agg(F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a")), F.xxhash64("doc_id", "key")).alias("s"))
+            cross = part.join(centre.select("key", "s.*"), "key").where("c <> c_a").where(_near_enough("n", "n_a", threshold)).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b"))
+        cross = materialise(cross.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"))
+        n_cross = cross.count()
+        more = materialise(verified(cross, sig, texts, width, threshold))
+        found = more.count() if n_cross else 0
+        if found:
+            comp = contract(comp, more)
+        if last:
+            return comp
+        going = k + 1 < ROUNDS and found * 10 > n_cross
+        seen = seen.unionByName(cross)
+        crowded = crowded.select("key", "doc_id", "n")
+        k += 1
+
+
+def narrowed(crowded: DataFrame, texts: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Pairs (a, b) of crowded (key, doc_id, n, c), of different c, that can reach the threshold.
+
+    Members that share buckets, directly or by others, are a crowd. In it a shingle is rare if at most RARE
+    members have it. Similar sets x and y share t / (1 + t) (|x| + |y|) shingles; so they share a rare one,
+    or that many common ones. The first kind of pairs is found by rare shingles. For the second kind, x can
+    only have partners of |x| t to (1 + t) / t common(x) - |x| shingles, and y likewise: rows are joined by crowd
+    and both size classes where different components face each other, one side without its largest
+    component, and a pair comes out only if it has enough common shingles. So members that only resemble a
+    large group make no pairs with it.
+    """
+    kind = dict(crowded.dtypes)["doc_id"]
+
+    def run(batches):
+        for batch in sliced(batches):
+            sets = list(shingle_sets([x.encode() for x in batch.column("text").to_pylist()], width))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, dtype=U)]).view(np.int64)))], ["doc_id", "h"])
+
+    members = materialise(crowded.select("doc_id", "n", "c").distinct())
+    stars = crowded.groupBy("key").agg(F.min("doc_id").alias("a"))
+    crowds = components(crowded.join(stars, "key").select("a", F.col("doc_id").alias("b")).distinct()).select(F.col("node").alias("doc_id"), F.col("component").alias("crowd"))
+    rows = _among(texts, members.select("doc_id")).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, h array<long>")
+    rows = materialise(rows.join(crowds, "doc_id").select("doc_id", "crowd", F.explode("h").alias("h")))
+    df = rows.groupBy("crowd", "h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = materialise(rows.join(df, ["crowd", "h"]))
+
+    rare = known.where(F.col("df") <= RARE).join(members, "doc_id")
+    several = rare.groupBy("crowd", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("crowd", "h")
+    rare = rare.join(several, ["crowd", "h"], "left_semi")
+    x, y = (rare.select("crowd", "h", F.col("doc_id").alias(d), F.col("c").alias(f"c_{d}"), F.col("n").alias(f"n_{d}")) for d in "ab")
+    by_rare = x.join(y, ["crowd", "h"]).where("a < b AND c_a <> c_b").where(_near_enough("n_a", "n_b", threshold)).select("a", "b").distinct()
+
+    common = materialise(known.where(F.col("df") > RARE).groupBy("doc_id").agg(F.collect_list("h").alias("hs")))
+    least, most = F.ceil(F.col("n") * threshold / F.lit(100)), F.floor(F.least(F.col("n") * F.lit(100) / threshold, F.size("hs") * F.lit(100 + threshold) / threshold - F.col("n")))
+    open_ = members.join(common, "doc_id").select("doc_id", "n", "c", least.cast("long").alias("least"), most.cast("long").alias("most")).where("least <= most")
+
+    def size_class(v: str):
+        return F.floor(F.log(F.col(v).cast("double")) / F.lit(math.log(1.02))).cast("int")
+
+    sides = open_.join(crowds, "doc_id").withColumn("own", size_class("n")).withColumn("other", F.explode(F.sequence(size_class("least"), size_class("most"))))
+    sides = materialise(sides)
+    x, y = _sides(sides)
+    some = facing(x, y)
+    hs = [common.select(F.col("doc_id").alias(f"{v}_doc_id"), F.col("hs").alias(f"{v}_hs")) for v in "xy"]
+    x = x.join(some, ["crowd", "s", "t"]).where("x_c <> largest").drop("largest").join(hs[0], "x_doc_id")
+    y = y.join(some.drop("largest"), ["crowd", "s", "t"], "left_semi").join(hs[1], "y_doc_id")
+    fits = F.expr("x_c <> y_c AND y_n BETWEEN x_least AND x_most AND x_n BETWEEN y_least AND y_most")
+    enough = F.size(F.array_intersect("x_hs", "y_hs")) * (100 + threshold) >= (F.col("x_n") + F.col("y_n")) * threshold
+    by_common = x.join(y, ["crowd", "s", "t"]).where(fits & enough).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    return by_rare.unionByName(by_common)
+
+
+def _sides(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each member as x, of its own class s with partners of class t, and as y, the other way round."""
+    names = ("doc_id", "n", "c", "least", "most")
+    x = sides.select("crowd", F.col("own").alias("s"), F.col("other").alias("t"), *[F.col(v).alias(f"x_{v}") for v in names])
+    y = sides.select("crowd", F.col("other").alias("s"), F.col("own").alias("t"), *[F.col(v).alias(f"y_{v}") for v in names])
+    return x, y
+
+
+def facing(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(crowd, s, t, largest): where members of different components face each other, and the largest of these."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = x.select("crowd", "s", "t", F.col("x_c").alias("c"), one.alias("i"), none.alias("j")).unionByName(y.select("crowd", "s", "t", F.col("y_c").alias("c"), none.alias("i"), one.alias("j")))
+    by = both.groupBy("crowd", "s", "t", "c").agg(F.sum("i").alias("i"), F.sum("j").alias("j")).groupBy("crowd", "s", "t")
+    pairs = F.sum("i") * F.sum("j") - F.sum(F.col("i") * F.col("j"))
+    return materialise(by.agg(pairs.alias("pairs"), F.max(F.struct(F.col("i") + F.col("j"), "c"))["c"].alias("largest")).where("pairs > 0").drop("pairs"))
+
+
+def contract(comp: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after further edges."""
+    ends = edges
+    for x in "ab":
+        ends = ends.join(comp.select(F.col("node").alias(x), F.col("component").alias("__c")), x, "left").withColumn(x, F.coalesce("__c", x)).drop("__c")
+    later = components(ends)
+    old = comp.join(later.select(F.col("node").alias("component"), F.col("component").alias("__to")), "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    fresh = later.join(comp.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_anti")
+    return materialise(old.unionByName(fresh))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -182,22 +316,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     keyed = slim.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = keyed.groupBy("n_shingles", "p", "q").agg(F.min(F.struct("doc_id", "rid")).alias("r"))
     classes = materialise(classes.select("n_shingles", "p", "q", F.col("r.doc_id").alias("rep"), F.col("r.rid").alias("rep_rid")))
-    reps = materialise(keyed.join(classes.select(F.col("rep_rid").alias("rid")), "rid", "left_semi").select("doc_id", "n_shingles", "bands", "sig"))
-    buckets = reps.select("doc_id", F.explode("bands").alias("key"))
-    stars = buckets.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("__most")).where("a <> __most").drop("__most")
-    crowded = materialise(buckets.join(stars, "key").select("key", "doc_id", "a"))
-    pairs = crowded.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    edges = verified(pairs, reps, docs, width, threshold)
-    comp = components(edges)
-    named = crowded.select("key", "doc_id").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    rest = materialise(named.join(mixed, "key", "left_semi"))
-    x, y = (rest.select("key", F.col("doc_id").alias(d), F.col("c").alias(f"c_{d}")) for d in "ab")
-    cross = x.join(y, "key").where("a < b AND c_a <> c_b").select("a", "b").distinct()
-    cross = cross.join(pairs, ["a", "b"], "left_anti")
-    more = verified(cross, reps, docs, width, threshold)
-    if not more.isEmpty():
-        comp = components(edges.unionByName(more))
+    reps = materialise(keyed.join(classes.select(F.col("rep_rid").alias("rid")), "rid", "left_semi").select("doc_id", "n_shingles", "sig"))
+    comp = links(reps, docs, width, threshold)
     member = slim.select("doc_id", "rid", "n_shingles", "p", "q").join(classes.select("n_shingles", "p", "q", "rep"), ["n_shingles", "p", "q"], "left")
     member = member.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     out = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

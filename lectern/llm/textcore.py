@@ -8,7 +8,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Texts are taken in groups of about so many bytes, so that the arrays at hand stay small.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 
 _lower = bytes(range(256)).lower()
 IS_SPACE = np.zeros(256, dtype=bool)
@@ -31,14 +31,21 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept for the next call unless very many."""
     got = _kept.get(base)
     if got is None or len(got) < n:
-        steps = np.full(max(n, 1 << 21), base, dtype=U)
+        steps = np.full(max(n, 1 << 20), base, dtype=U)
         steps[0] = 1
         got = np.cumprod(steps)
-        if n <= 1 << 22:
+        if n <= 1 << 21:
             _kept[base] = got
     return got[:n]
 
 
+def sliced(batches, rows: int = 500):
+    """The same rows in smaller batches (views), so that what Python holds of them at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def groups(texts: list[bytes]):
     """(from, to) of runs of texts of about GROUP_BYTES."""
     at, size = 0, 0
