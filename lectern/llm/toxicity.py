@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import n_words
-from lectern.llm.near_dedup import band_keys, min_hashes, shingle_sets
+from lectern.llm.near_dedup import shingle_sets, signature
 from lectern.llm.samples import held_out, per_class
-from lectern.llm.textcore import U, groups, mix, word_spans
+from lectern.llm.textcore import U, groups, mix, sliced, word_spans
 
 BITS = 18
 TRAIN_EACH = 2500
@@ -39,6 +39,9 @@ Z = 6.0
 WINDOW = 24
 WINDOWS = 20_000
 STEPS = 60
+#: Rounds of training; tokens of clean documents above MISTAKEN are added for the next one.
+ROUNDS = 3
+MISTAKEN = 0.1
 L2 = 1e-3
 
 _blank = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -54,7 +57,7 @@ def tokens(texts: list[bytes]):
         size = stops - starts
         head, tail = np.zeros(len(starts), dtype=U), np.zeros(len(starts), dtype=U)
         for j in range(4):
-            inside = size > j
+            inside = size > 4  # a shorter token has no start or end apart from itself
             head = mix(head + np.where(inside, padded[starts + j], U(0)) + U(j + 1))
             tail = mix(tail + np.where(inside, padded[np.maximum(stops - 1 - j, 0)], U(0)) + U(j + 101))
         yield lo, hi, np.stack([value >> shift, head >> shift, tail >> shift], axis=1).astype(np.int32), counts, starts, stops
@@ -159,7 +162,7 @@ def _copies(keys: np.ndarray) -> np.ndarray:
 
     seen: dict[tuple[int, int], int] = {}
     for i, row in enumerate(keys.tolist()):
-        for k in row:
+        for k in enumerate(row):
             j = seen.setdefault(k, i)
             if j != i:
                 root[find(i)] = find(j)
@@ -179,7 +182,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) ->
 
 
 def fit(features: list[np.ndarray], keys: np.ndarray, toxic: np.ndarray, share: float) -> Chain | None:
-    """A chain from each document's token features, its band keys and its label; share is the toxic share of all labels."""
+    """A chain from each document's token features, the bands of its signature and its label; share is the toxic share of all labels."""
     if not len(features) or toxic.min() == toxic.max():
         return None
     weight = _copies(keys)
@@ -194,24 +197,29 @@ def fit(features: list[np.ndarray], keys: np.ndarray, toxic: np.ndarray, share:
     lexicon = z >= Z
     if not lexicon.any():
         lexicon = (z >= 3) & (z >= np.sort(z)[-10])
-    windows, labels = [], []
     rng = np.random.default_rng(3)
-    for f, t in zip(features, toxic.tolist(), strict=True):
-        mark = lexicon[f[:, 0]] & bool(t)
-        hits = np.flatnonzero(mark)
-        at = np.concatenate([np.maximum(hits - WINDOW // 2, 0), rng.integers(0, max(1, len(f) - WINDOW), 1 + len(hits) // 2)])
-        for a in at.tolist():
-            if a + WINDOW <= len(f):
-                windows.append(f[a : a + WINDOW])
-                labels.append(mark[a : a + WINDOW])
-    if windows:
-        pick = rng.permutation(len(windows))[:WINDOWS]
-        tables, steps = train_chain(np.stack([windows[i] for i in pick]), np.stack([labels[i] for i in pick]).astype(float))
-    else:
-        tables, steps = np.zeros((3, 1 << BITS)), np.zeros((2, 2))
-    chain = Chain(tables.astype(np.float32), steps, np.zeros(4))
+    marks = [lexicon[f[:, 0]] & bool(t) for f, t in zip(features, toxic.tolist(), strict=True)]
     counts = np.array([len(f) for f in features])
-    p = marginals(chain.emissions(np.concatenate(features)).astype(float), counts, steps)
+    ends, every = np.cumsum(counts), np.concatenate(features)
+    taken: list[tuple[int, int]] = []
+    for i, f in enumerate(features):
+        hits = np.flatnonzero(marks[i])
+        at = np.concatenate([np.maximum(hits - WINDOW // 2, 0), rng.integers(0, max(1, len(f) - WINDOW), 1 + len(hits) // 2)])
+        taken += [(i, a) for a in at.tolist() if a + WINDOW <= len(f)]
+    taken = [taken[k] for k in rng.permutation(len(taken))[:WINDOWS]]
+    chain = Chain(np.zeros((3, 1 << BITS), dtype=np.float32), np.zeros((2, 2)), np.zeros(4))
+    for _ in range(ROUNDS if taken else 0):
+        tables, steps = train_chain(np.stack([features[i][a : a + WINDOW] for i, a in taken]), np.stack([marks[i][a : a + WINDOW] for i, a in taken]).astype(float))
+        chain = Chain(tables.astype(np.float32), steps, np.zeros(4))
+        # Clean documents' tokens that the chain takes for toxic join the next round's windows.
+        wrong = np.flatnonzero((marginals(chain.emissions(every).astype(float), counts, steps) > MISTAKEN) & ~np.repeat(toxic.astype(bool), counts))
+        own = np.searchsorted(ends, wrong, side="right")
+        begin = np.clip(wrong - (ends - counts)[own] - WINDOW // 2, 0, np.maximum(counts[own] - WINDOW, 0))
+        hard = [(i, a) for i, a in zip(own.tolist(), begin.tolist(), strict=True) if counts[i] >= WINDOW]
+        if not hard:
+            break
+        taken += [hard[k] for k in rng.permutation(len(hard))[: WINDOWS // 4]]
+    p = marginals(chain.emissions(every).astype(float), counts, steps)
     balance = np.where(toxic == 1, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
     chain.document = logistic(document_features(p, counts), toxic.astype(float), weight * balance)
     return chain
@@ -225,9 +233,9 @@ def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH, most_words
     sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").where(n_words(F.col("text")).between(1, most_words))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [x.encode() for x in batch.column("text").to_pylist()]
-            keys = [band_keys(min_hashes(s)[None])[0].tobytes() for s in shingle_sets(texts, 2)]
+            keys = [signature(s).tobytes() for s in shingle_sets(texts, 2)]
             raw = []
             for _, _, f, counts, _, _ in tokens(texts):
                 for part in np.split(f, np.cumsum(counts)[:-1]):
@@ -240,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH, most_words
     got = sample.mapInArrow(run, f"doc string, toxic {toxic_type}, raw binary, keys binary").limit(4 * each).collect()
     got = sorted((r for r in got if len(r["raw"])), key=lambda r: (r["doc"], bytes(r["raw"])))
     features = [np.frombuffer(bytes(r["raw"]), dtype=np.int32).reshape(-1, 3) for r in got]
-    keys = np.array([np.frombuffer(bytes(r["keys"]), dtype=np.int64) for r in got])
+    keys = np.array([np.frombuffer(bytes(r["keys"]), dtype="<u8") for r in got])
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     return fit(features, keys, np.array([r["toxic"] for r in got], dtype=int), share)
 
@@ -253,18 +261,16 @@ def _spans(text: bytes, starts: np.ndarray, stops: np.ndarray) -> list[dict]:
     return out
 
 
-def _judge(chain: Chain, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each text's score and number of tokens; each token's marginal and its bytes (from, to) in its text."""
-    emission, counts, where = [np.zeros(0)], [np.zeros(0, dtype=np.int64)], [np.zeros((2, 0), dtype=np.int64)]
+def _judge(chain: Chain, texts: list[bytes]):
+    """(scores, tokens of each text, each token's marginal and its bytes (from, to) in its text) for runs of texts."""
     for lo, hi, f, n, starts, stops in tokens(texts):
-        emission.append(chain.emissions(f))
-        counts.append(n)
+        p = marginals(chain.emissions(f).astype(float), n, chain.steps)
         base = np.repeat(np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])[:-1], n)
-        where.append(np.stack([starts - base, stops - base]))
-    n = np.concatenate(counts)
-    p = marginals(np.concatenate(emission).astype(float), n, chain.steps)
-    s = 1 / (1 + np.exp(-np.clip(document_features(p, n) @ chain.document, -30, 30)))
-    return s, n, p, *np.concatenate(where, axis=1)
+        yield 1 / (1 + np.exp(-np.clip(document_features(p, n) @ chain.document, -30, 30))), n, p, starts - base, stops - base
+
+
+def _scores(chain: Chain, texts: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(run[0] for run in _judge(chain, texts))])
 
 
 def score(docs: DataFrame, chain: Chain | None, spans: bool = False) -> DataFrame:
@@ -277,17 +283,23 @@ def score(docs: DataFrame, chain: Chain | None, spans: bool = False) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            s, counts, p, a, b = _judge(shared.value, texts)
+            if spans:
+                found, parts, at = [], [np.zeros(0)], 0
+                for s, counts, p, a, b in _judge(shared.value, texts):
+                    parts.append(s)
+                    for end, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+                        hit = np.flatnonzero(p[end - n : end] >= 0.5) + end - n
+                        runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else []
+                        found.append(_spans(texts[at], np.array([a[r[0]] for r in runs], dtype=int), np.array([b[r[-1]] for r in runs], dtype=int)))
+                        at += 1
+                s = np.concatenate(parts)
+            else:
+                s = _scores(shared.value, texts)
             columns = [batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))]
             names = ["doc_id", "score", "predicted"]
             if spans:
-                found = []
-                for text, end, n in zip(texts, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
-                    hit = np.flatnonzero(p[end - n : end] >= 0.5) + end - n
-                    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1) if len(hit) else []
-                    found.append(_spans(text, np.array([a[r[0]] for r in runs], dtype=int), np.array([b[r[-1]] for r in runs], dtype=int)))
                 columns.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())]))))
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -302,9 +314,9 @@ def clean(docs: DataFrame, chain: Chain | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
-            yield batch.take(pa.array(np.flatnonzero(_judge(shared.value, texts)[0] < 0.5)))
+            yield batch.take(pa.array(np.flatnonzero(_scores(shared.value, texts) < 0.5)))
 
     return docs.mapInArrow(run, docs.schema)
 
