@@ -21,15 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_ROWS, WORD, lookup_join, materialise
+from lectern.llm.common import WORD, lookup_join, materialise
 
 WIDTH = 5
 #: Hashes whose first hex digit is below this are kept: one in eight.
 BELOW = "2"
 RANGE = 1000
 QUANTILES = 256
-#: At most so many ranges' first texts are broadcast; more are joined by a shuffle.
-HEAD_ROWS = 2000
 
 
 def sketch(text: str, width: int = WIDTH, below: str = BELOW) -> Column:
@@ -92,7 +90,8 @@ def edited(docs: DataFrame, rows: int = RANGE) -> DataFrame:
     order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     # Sketches are made behind the shuffle, which then carries texts only.
     ahead = dealt.repartition("range").withColumn("sketch", sketch("text")).select("*", F.lead("text").over(order).alias("__text"), F.lead("sketch").over(order).alias("__sketch"))
-    both = lookup_join(ahead, heads.withColumn("head_sketch", sketch("head")), F.col("range") == F.col("__from"), n_ranges if n_ranges <= HEAD_ROWS else BROADCAST_ROWS + 1)
+    # Both sides are dealt by range, so that the join moves the heads only.
+    both = ahead.join(heads.withColumn("head_sketch", sketch("head")), F.col("range") == F.col("__from"))
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     after = F.coalesce("__text", "head")
