@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.samples import held_out, per_class
+from lectern.llm.textcore import sliced
 
 #: Places for n-grams of 1, 2 and 3 characters.
 PLACES = (1 << 10, 1 << 13, 1 << 14)
@@ -33,9 +34,9 @@ LANDMARKS = 256
 RIDGE = 1e-2
 TRAIN_EACH = 500
 TRAIN_MOST = 4000
-GROUP_CHARS = 1_500_000
-#: Below this score no one-versus-rest function claims the text as its language.
-LEAST = 0.5
+GROUP_CHARS = 500_000
+#: With no known n-gram, four balanced languages each score 0.25; below this no language has anything for it.
+LEAST = 0.3
 
 _letter = None
 
@@ -133,7 +134,7 @@ def train(docs: DataFrame, each: int = TRAIN_EACH, most: int = TRAIN_MOST) -> Mo
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = [b""] * batch.num_rows
             for lo, hi, x, _ in presence(batch.column("text").to_pylist()):
                 packed = np.packbits(x, axis=1)
@@ -153,7 +154,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = Model(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches):
             langs, scores = m.decide(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -169,7 +170,7 @@ def recognised(docs: DataFrame, model: Model, languages: tuple[str, ...] | None
     def run(batches):
         m = Model(*shared.value)
         wanted = set(m.languages if languages is None else languages)
-        for batch in batches:
+        for batch in sliced(batches):
             langs, scores = m.decide(batch.column("text").to_pylist())
             yield batch.take(pa.array([i for i, (x, s) in enumerate(zip(langs, scores, strict=True)) if x in wanted and s >= least], pa.int64()))
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
 from lectern.llm.samples import held_out, per_class
-from lectern.llm.textcore import U, groups, mix, spans_of
+from lectern.llm.textcore import U, groups, mix, sliced, spans_of
 
 BITS = 16
 TARGET_MOST = 5000
@@ -67,7 +67,7 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
         size = 1 << BITS
         total = np.zeros((2, size), dtype=np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             target = np.array(batch.column("target").to_pylist(), dtype=bool)
             for lo, _, places, owners in features(texts):
@@ -109,7 +109,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def run(batches):
         table = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             number, weight = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts))
             for lo, hi, places, owners in features(texts):
