@@ -177,7 +177,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     seed = options.get("seed", "mix")
     keyed = docs.withColumn("__mix_h", keyed_hash(seed))
-    plan_ = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source", "size", "h").agg(F.first("shards").alias("__mix_shards"))
+    # Rows of one source and hash share their copies and shards, whatever their sizes: one row of the plan for all of them.
+    plan_ = mix(docs, **options).where("copies > 0").groupBy("source", "h").agg(F.first("shards").alias("__mix_shards"))
     plan_ = plan_.select(F.col("h").alias("__mix_ph"), F.col("source").alias("__mix_ps"), "__mix_shards")
     out = keyed.join(plan_, (F.col("__mix_h") == F.col("__mix_ph")) & F.col("source").eqNullSafe(F.col("__mix_ps")))
     out = out.where(n_words(F.col("text")) > 0).withColumn("__mix_shard", F.explode("__mix_shards"))

@@ -52,3 +52,17 @@ def test_mixed_documents_repeat_as_often_as_taken(odd):
 
 def test_empty_table(none):
     assert mixing.mix(none).collect() == [] and mixing.mixed_documents(none).collect() == []
+
+
+def test_mixed_documents_of_null_and_repeated_ids(spark):
+    """Rows that share a null or repeated doc_id, with texts of several lengths, come as often as the mix takes each."""
+    rows = [(None, "n " * k, "a") for k in range(1, 7)] + [(5, "r " * k, "b") for k in (2, 3, 4, 4)] + [(None, "", "a")]
+    rows += [(i, "w " * 10, "ab"[i % 2]) for i in range(20, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, got = {}, {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source, r["size"]] = want.get((r.doc_id, r.source, r["size"]), 0) + r.copies
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id, r.source, _words(r.text)] = got.get((r.doc_id, r.source, _words(r.text)), 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+    assert any(k[0] is None for k in got) and any(k[0] == 5 for k in got)
