@@ -4,7 +4,8 @@ Tokens are runs of letters, digits and non-ASCII bytes. Only documents are label
 are derived first: near copies in the training sample share their weight, and a token type that
 occurs in toxic documents far more often than chance (z above Z) is labelled toxic there; all other
 tokens are labelled clean. A two-state chain with hashed word, word-start and word-end features is
-trained by gradient ascent on windows around toxic tokens and on windows of other text.
+trained by gradient ascent on windows around toxic tokens and on windows of other text. Windows are
+moved back at a text's end; a text shorter than a window is one of its own length.
 
 Every whole text is then scored by forward-backward. The tokens' marginals give the offending spans
 (code point offsets); their sum, maximum and density, through a logistic regression fit on the same
@@ -117,9 +118,10 @@ def document_features(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(counts)), np.log1p(np.maximum(mass, 0)), top, mass / np.maximum(counts, 1)], axis=1)
 
 
-def train_chain(features: np.ndarray, label: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient ascent on windows (n, WINDOW, 3) with token labels (n, WINDOW)."""
+def train_chain(features: np.ndarray, label: np.ndarray, sizes: np.ndarray | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent on windows (n, WINDOW, 3) with token labels (n, WINDOW); only the first `sizes` places of each window are tokens."""
     n, width, _ = features.shape
+    inside = np.arange(width) < (np.full(n, width) if sizes is None else sizes)[:, None]
     tables, steps = np.zeros((3, 1 << BITS)), np.zeros((2, 2))
     squared, squared_steps = np.zeros_like(tables), np.zeros((2, 2))
     for _ in range(STEPS):
@@ -129,13 +131,14 @@ def train_chain(features: np.ndarray, label: np.ndarray, seed: int = 5) -> tuple
         alpha, beta = np.zeros((n, width, 2)), np.zeros((n, width, 2))
         alpha[:, 0] = score[:, 0]
         for t in range(1, width):
-            alpha[:, t] = score[:, t] + _soft(alpha[:, t - 1, :1] + steps[0], alpha[:, t - 1, 1:] + steps[1])
+            ahead = score[:, t] + _soft(alpha[:, t - 1, :1] + steps[0], alpha[:, t - 1, 1:] + steps[1])
+            alpha[:, t] = np.where(inside[:, t, None], ahead, alpha[:, t - 1])
         for t in range(width - 2, -1, -1):
             nxt = score[:, t + 1] + beta[:, t + 1]
-            beta[:, t] = _soft(nxt[:, :1] + steps[:, 0], nxt[:, 1:] + steps[:, 1])
+            beta[:, t] = np.where(inside[:, t + 1, None], _soft(nxt[:, :1] + steps[:, 0], nxt[:, 1:] + steps[:, 1]), 0)
         z = _soft(alpha[:, -1, 0], alpha[:, -1, 1])
         p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])
-        miss = (label - p) / n
+        miss = np.where(inside, label - p, 0) / n
         for k in range(3):
             grad = np.bincount(features[:, :, k].ravel(), weights=miss.ravel(), minlength=1 << BITS) - L2 / n * tables[k]
             squared[k] += grad**2
@@ -144,12 +147,21 @@ def train_chain(features: np.ndarray, label: np.ndarray, seed: int = 5) -> tuple
             for j in range(2):
                 pair = np.exp(alpha[:, :-1, i] + steps[i, j] + score[:, 1:, j] + beta[:, 1:, j] - z[:, None, None].squeeze(2))
                 seen = (label[:, :-1] == i) & (label[:, 1:] == j)
-                g = float((seen - pair).sum()) / n
+                g = float(np.where(inside[:, 1:], seen - pair, 0).sum()) / n
                 squared_steps[i, j] += g**2
                 steps[i, j] += 0.2 * g / (np.sqrt(squared_steps[i, j]) + 1e-9)
     return tables, steps
 
 
+def windows(rows: list[np.ndarray], taken: list[tuple[int, int]]) -> np.ndarray:
+    """WINDOW places of rows[i] from a on for each (i, a) of taken; zeros behind the end."""
+    out = np.zeros((len(taken), WINDOW, *rows[0].shape[1:]), dtype=rows[0].dtype)
+    for k, (i, a) in enumerate(taken):
+        part = rows[i][a : a + WINDOW]
+        out[k, : len(part)] = part
+    return out
+
+
 def _copies(keys: np.ndarray) -> np.ndarray:
     """A weight for each document: one over the number of its near copies in the sample (itself included)."""
     root = list(range(len(keys)))
@@ -204,18 +216,20 @@ def fit(features: list[np.ndarray], keys: np.ndarray, toxic: np.ndarray, share:
     taken: list[tuple[int, int]] = []
     for i, f in enumerate(features):
         hits = np.flatnonzero(marks[i])
-        at = np.concatenate([np.maximum(hits - WINDOW // 2, 0), rng.integers(0, max(1, len(f) - WINDOW), 1 + len(hits) // 2)])
-        taken += [(i, a) for a in at.tolist() if a + WINDOW <= len(f)]
+        last = max(0, len(f) - WINDOW)
+        at = np.concatenate([np.clip(hits - WINDOW // 2, 0, last), rng.integers(0, last + 1, 1 + len(hits) // 2)])
+        taken += [(i, a) for a in at.tolist()]
     taken = [taken[k] for k in rng.permutation(len(taken))[:WINDOWS]]
     chain = Chain(np.zeros((3, 1 << BITS), dtype=np.float32), np.zeros((2, 2)), np.zeros(4))
     for _ in range(ROUNDS if taken else 0):
-        tables, steps = train_chain(np.stack([features[i][a : a + WINDOW] for i, a in taken]), np.stack([marks[i][a : a + WINDOW] for i, a in taken]).astype(float))
+        sizes = np.minimum(counts[[i for i, _ in taken]], WINDOW)
+        tables, steps = train_chain(windows(features, taken), windows(marks, taken).astype(float), sizes)
         chain = Chain(tables.astype(np.float32), steps, np.zeros(4))
         # Clean documents' tokens that the chain takes for toxic join the next round's windows.
         wrong = np.flatnonzero((marginals(chain.emissions(every).astype(float), counts, steps) > MISTAKEN) & ~np.repeat(toxic.astype(bool), counts))
         own = np.searchsorted(ends, wrong, side="right")
         begin = np.clip(wrong - (ends - counts)[own] - WINDOW // 2, 0, np.maximum(counts[own] - WINDOW, 0))
-        hard = [(i, a) for i, a in zip(own.tolist(), begin.tolist(), strict=True) if counts[i] >= WINDOW]
+        hard = list(zip(own.tolist(), begin.tolist(), strict=True))
         if not hard:
             break
         taken += [hard[k] for k in rng.permutation(len(hard))[: WINDOWS // 4]]

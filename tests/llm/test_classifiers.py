@@ -133,3 +133,29 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, none):
     assert len(got) == len(odd_rows) and share == 0.5
     empty, _ = quality_classifier.train(none, labels)
     assert not empty.any() and quality_classifier.resample(quality_classifier.weigh(none, empty), 0.5).collect() == []
+
+
+@pytest.mark.parametrize("size, at", [(8, 3), (60, 59)])
+def test_toxic_tokens_in_short_texts_and_at_ends_are_learned(size, at):
+    rng = np.random.default_rng(2)
+    texts = []
+    for i in range(400):
+        w = [f"word{k}" for k in rng.integers(0, 60, size)]
+        if i % 4 == 0:
+            w[at] = "vile"
+        texts.append(" ".join(w).encode())
+    parts = [part for _, _, f, n, _, _ in toxicity.tokens(texts) for part in np.split(f, np.cumsum(n)[:-1])]
+    chain = toxicity.fit(parts[:300], np.arange(300)[:, None], np.array([int(i % 4 == 0) for i in range(300)]), 0.25)
+    held = parts[300:]
+    p = toxicity.marginals(chain.emissions(np.concatenate(held)).astype(float), np.full(100, size), chain.steps).reshape(100, size)
+    assert ((p >= 0.5) == [[i % 4 == 0 and k == at for k in range(size)] for i in range(300, 400)]).all()
+
+
+def test_places_behind_a_window_do_not_count():
+    rng = np.random.default_rng(4)
+    f, y = rng.integers(0, 50, (6, 5, 3)), rng.integers(0, 2, (6, 5)).astype(float)
+    want = toxicity.train_chain(f, y)
+    wide, labels = np.zeros((6, 9, 3), dtype=f.dtype), np.ones((6, 9))
+    wide[:, :5], labels[:, :5] = f, y
+    got = toxicity.train_chain(wide, labels, np.full(6, 5))
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
