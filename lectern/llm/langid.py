@@ -35,8 +35,6 @@ RIDGE = 1e-2
 TRAIN_EACH = 500
 TRAIN_MOST = 4000
 GROUP_CHARS = 500_000
-#: With no known n-gram, four balanced languages each score 0.25; below this no language has anything for it.
-LEAST = 0.3
 
 _letter = None
 
@@ -86,6 +84,8 @@ class Model:
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    #: Halfway from chance (scores sum to 1, so the best is 1 / languages or more) to the least sure training text; 0 with one language.
+    least: float = 0.0
 
     def decide(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """A language and a score from 0 to 1 for each text."""
@@ -123,8 +123,13 @@ def fit(bits: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge:
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     share = np.array([labels.count(x) for x in languages], dtype=float)[[languages.index(x) for x in labels]]
     w = (1 / share)[:, None] * len(labels) / len(languages)
-    coef = np.linalg.solve(z1.T @ (w * z1) + ridge * len(z) / 100 * np.eye(z1.shape[1]), z1.T @ (w * y))
-    return Model(languages, (mark.T.astype(np.float64) @ (root @ coef[:-1])).astype(np.float32), coef[-1])
+    gram = z1.T @ (w * z1) + ridge * len(z) / 100 * np.eye(z1.shape[1])
+    coef = np.linalg.solve(gram, z1.T @ (w * y))
+    # Each training text's score without itself, in closed form; its own fit would be too sure.
+    own = np.minimum(w * (z1 * np.linalg.solve(gram, z1.T).T).sum(axis=1)[:, None], 0.999)
+    least = (1 + float(((z1 @ coef - own * y) / (1 - own)).max(axis=1).min())) / 2
+    least = (1 / len(languages) + least) / 2 if len(languages) > 1 else 0.0
+    return Model(languages, (mark.T.astype(np.float64) @ (root @ coef[:-1])).astype(np.float32), coef[-1], min(1.0, max(0.0, least)))
 
 
 def train(docs: DataFrame, each: int = TRAIN_EACH, most: int = TRAIN_MOST) -> Model:
@@ -161,10 +166,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float = LEAST) -> DataFrame:
-    """The rows of docs, with all their columns, in one of `languages` (None: any learned one) with a score of `least` or more."""
+def recognised(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, in one of `languages` (None: any learned one) with a score of `least` or more.
+
+    Without `least`, a text goes if it has no letter or scores less than the model's own `least`.
+    """
     if not model.languages:
         return docs.where(F.lit(False))
+    least = model.least if least is None else least
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
 
     def run(batches):

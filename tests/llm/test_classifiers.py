@@ -159,3 +159,13 @@ def test_places_behind_a_window_do_not_count():
     wide[:, :5], labels[:, :5] = f, y
     got = toxicity.train_chain(wide, labels, np.full(6, 5))
     assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+def test_text_in_no_learned_language_goes_with_two_languages(spark):
+    rng = np.random.default_rng(6)
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "жзику"}
+    rows = [(i, " ".join("".join(rng.choice(list(alphabets[lang]), 5)) for _ in range(12)), lang) for i in range(300) for lang in [list(alphabets)[i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = docs.where("lang <> 'cc'")
+    got = langid.recognised(docs, langid.train(known)).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in got} == {"aa": 100, "bb": 100}
