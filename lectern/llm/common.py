@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Above so many rows a lookup table is joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 50_000
+#: Bytes of one batch of rows that Python gets.
+BATCH_BYTES = 4 << 20
 
 
 def words(text: Column) -> Column:
@@ -60,6 +62,57 @@ def materialise(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept.queryExecution().toRdd(), kept.schema(), False), spark)
 
 
+def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) on batches of at most BATCH_BYTES.
+
+    Spark's own bound (64 MB, or 10,000 rows) is for short rows; each task would hold texts of that size twice. The
+    setting is the session's, as Spark has none for a single plan; a smaller one stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).removesuffix("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+class Scratch:
+    """Tables of one run of an operator, in the shared folder: written once, so that a lost executor costs no finished step.
+
+    As Parquet they are small and tell the planner their sizes. They go at drop(), or at the end of the with block;
+    what outlives the block must be materialised before.
+    """
+
+    def __init__(self, spark):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.tables: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.tables.clear()
+        self._delete(self.folder)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write df and read it back."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(out)] = (out, path)
+        return out
+
+    def drop(self, *done: DataFrame) -> None:
+        """Delete tables that keep() gave; anything else is left alone."""
+        for df in done:
+            if id(df) in self.tables:
+                self._delete(self.tables.pop(id(df))[1])
+
+    def _delete(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def lookup_join(df: DataFrame, small: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
     """Join with a lookup table: broadcast only if its counted rows are few, else shuffled."""
     return df.join(F.broadcast(small) if rows <= BROADCAST_ROWS else small, on, how)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
@@ -31,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64; kept for the next call unless very many."""
     got = _kept.get(base)
     if got is None or len(got) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=U)
+        steps = np.full(max(n, GROUP_BYTES), base, dtype=U)
         steps[0] = 1
         got = np.cumprod(steps)
         if n <= 1 << 21:
@@ -40,10 +44,19 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def sliced(batches, rows: int = 500):
-    """The same rows in smaller batches (views), so that what Python holds of them at a time stays small."""
+    """The same rows in smaller batches (views), so that what Python holds of them at a time stays small; at the end, freed memory goes back to the system, as workers live on."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give freed memory back to the system, as far as the platform can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def groups(texts: list[bytes]):
@@ -57,14 +70,24 @@ def groups(texts: list[bytes]):
 
 
 def spans_of(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes.
+    """A hash of each span of bytes; spans are in order and apart.
 
     It is a polynomial over the bytes modulo 2 ** 64, taken as a difference of running sums and
-    shifted back to the span's start, then finalised together with the length.
+    shifted back to the span's start, then finalised together with the length. Spans are taken a
+    few bytes' worth at a time, so that a very long text needs no large arrays.
     """
-    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum((data.astype(U) + U(1)) * powers(BASE, len(data)))))
-    value = (sums[stops] - sums[starts]) * powers(INVERSE, len(data))[starts]
-    return mix(mix(value) + (stops - starts).astype(U))
+    out = np.empty(len(starts), dtype=U)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(starts, lo + GROUP_BYTES)))
+        first, last = starts[i:j] - lo, stops[i:j] - lo
+        part = data[lo : int(stops[j - 1])]
+        sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum((part.astype(U) + U(1)) * powers(BASE, len(part)))))
+        value = (sums[last] - sums[first]) * powers(INVERSE, len(part))[first]
+        out[i:j] = mix(mix(value) + (last - first).astype(U))
+        i = j
+    return out
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from lectern.llm import near_dedup as nd
+from lectern.llm.common import Scratch
 from lectern.llm.components import components
 
 
@@ -86,5 +87,6 @@ def test_pruning_keeps_pairs_at_the_threshold():
 @pytest.mark.parametrize("small", [1000, 0])
 def test_components_of_a_path_and_a_star(spark, small):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 120)] + [(5, 5)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), small).collect()}
+    with Scratch(spark) as s:
+        got = {r.node: r.component for r in components(s, spark.createDataFrame(edges, "a long, b long"), small).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 120)}
