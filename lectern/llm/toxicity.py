@@ -5,22 +5,27 @@ are derived first: near copies in the training sample share their weight, and a
 occurs in toxic documents far more often than chance (z above Z) is labelled toxic there; all other
 tokens are labelled clean. A two-state chain with hashed word, word-start and word-end features is
 trained by gradient ascent on windows around toxic tokens and on windows of other text. Windows are
-moved back at a text's end; a text shorter than a window is one of its own length.
+moved back at a text's end; a text shorter than a window is one of its own length. Counts, windows and
+mistakes are taken where the sample lies; the driver gets type counts, at most WINDOWS windows a round and
+four numbers a document.
 
 Every whole text is then scored by forward-backward. The tokens' marginals give the offending spans
 (code point offsets); their sum, maximum and density, through a logistic regression fit on the same
 sample, give the document's score.
 
-The sample is bounded: at most TRAIN_EACH documents of a class, with at most TRAIN_WORDS words each,
-those with the smallest hashed doc_id.
+The sample is bounded: at most TRAIN_EACH documents of a class, those with the smallest hashed doc_id,
+whole whatever their length; of all candidate windows, WINDOWS are taken (those of smallest hash).
 
 Defined results: a null or empty text has no token and gets the score of a text without toxic
-tokens; without labels, or with one class only, all scores are 0; repeated rows are each scored; an
-empty table gives an empty result; other columns are ignored.
+tokens; without labels, or with one class only, all scores are 0; repeated rows are each scored; of several labels
+of a doc_id the larger counts; very long texts are scored whole, in segments whose ends are exact; a
+score of 0.5 counts as toxic; an empty table gives an empty result; other columns, whatever their names, are ignored
+(`clean` carries them).
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,14 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import n_words
+from lectern.llm.common import Scratch, in_batches
 from lectern.llm.near_dedup import shingle_sets, signature
 from lectern.llm.samples import held_out, per_class
 from lectern.llm.textcore import U, groups, mix, sliced, word_spans
 
 BITS = 18
 TRAIN_EACH = 2500
-TRAIN_WORDS = 10_000
 Z = 6.0
 WINDOW = 24
 WINDOWS = 20_000
@@ -54,13 +58,13 @@ def tokens(texts: list[bytes]):
         run = [t.translate(_blank) for t in texts[lo:hi]]
         value, counts, starts, stops, data = word_spans(run)
         shift = U(64 - BITS)
-        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).astype(U)
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
         size = stops - starts
         head, tail = np.zeros(len(starts), dtype=U), np.zeros(len(starts), dtype=U)
         for j in range(4):
             inside = size > 4  # a shorter token has no start or end apart from itself
-            head = mix(head + np.where(inside, padded[starts + j], U(0)) + U(j + 1))
-            tail = mix(tail + np.where(inside, padded[np.maximum(stops - 1 - j, 0)], U(0)) + U(j + 101))
+            head = mix(head + np.where(inside, padded[starts + j].astype(U), U(0)) + U(j + 1))
+            tail = mix(tail + np.where(inside, padded[np.maximum(stops - 1 - j, 0)].astype(U), U(0)) + U(j + 101))
         yield lo, hi, np.stack([value >> shift, head >> shift, tail >> shift], axis=1).astype(np.int32), counts, starts, stops
 
 
@@ -80,27 +84,82 @@ def _soft(a, b):
     return np.logaddexp(a, b)
 
 
-def marginals(emission: np.ndarray, counts: np.ndarray, steps: np.ndarray) -> np.ndarray:
+def _ends(emission: np.ndarray, counts: np.ndarray, first: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For segments end to end (first: is it its text's first one): log odds of toxic before it (forward) and behind it (backward).
+
+    Each segment's recursion is one 2 x 2 matrix; matrices of all segments are built in one loop over positions, and
+    chained along each text.
+    """
+    n = len(counts)
+    before, behind = np.zeros(n), np.zeros(n)
+    many = np.flatnonzero(~first | np.append(~first[1:], False))  # segments of texts that have several
+    if not len(many):
+        return before, behind
+    top = steps.max()
+    move = np.exp(steps - top)  # [from, to]
+    begin = (np.cumsum(counts) - counts)[many]
+    size = counts[many]
+    product = np.repeat(np.eye(2)[None], len(many), axis=0)  # rows: state behind; columns: state before
+    for t in range(int(size.max())):
+        live = size > t
+        e = emission[begin[live] + t]
+        step = np.empty((len(e), 2, 2))
+        low = np.maximum(e, 0)  # scaled, so that no exponential overflows
+        step[:, 0, :] = move[:, 0] * np.exp(-low)[:, None]
+        step[:, 1, :] = move[:, 1] * np.exp(e - low)[:, None]
+        if t == 0:
+            fresh = first[many][live]  # a text's first token has no step before it
+            step[fresh] = np.stack([np.exp(-low), np.exp(e - low)], axis=1)[fresh][:, :, None] * np.eye(2)
+        made = step @ product[live]
+        product[live] = made / made.sum(axis=(1, 2), keepdims=True)
+    tiny = 1e-300
+    alpha = None
+    for k, i in enumerate(many.tolist()):
+        if first[i]:
+            alpha = np.ones(2)
+        else:
+            before[i] = np.log(alpha[1] + tiny) - np.log(alpha[0] + tiny)
+        alpha = product[k] @ alpha
+        alpha = alpha / alpha.sum()
+    beta = np.ones(2)
+    for k in range(len(many) - 1, -1, -1):
+        i = many[k]
+        if i + 1 >= n or first[i + 1]:
+            beta = np.ones(2)
+        behind[i] = np.log(beta[1] + tiny) - np.log(beta[0] + tiny)
+        beta = product[k].T @ beta
+        beta = beta / beta.sum()
+    return before, behind
+
+
+def marginals(emission: np.ndarray, counts: np.ndarray, steps: np.ndarray, most: int = 1024) -> np.ndarray:
     """Probability of the toxic state for each token of texts laid end to end.
 
-    Both recursions run over positions, with all texts that are long enough in one step, as log
-    odds of toxic against clean.
+    Both recursions run over positions, with all texts that are long enough in one step, as log odds of toxic
+    against clean. Texts of more than `most` tokens are cut into segments of so many, which run side by side: what
+    enters a segment at either end is known exactly beforehand (see `_ends`).
     """
+    parts = np.maximum(1, -(-counts // most))
+    own = np.repeat(np.arange(len(counts)), parts)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
+    counts = np.minimum(counts[own] - nth * most, most)
+    first = nth == 0
+    before, after = _ends(emission, counts, first, steps)
     order = np.argsort(-counts, kind="stable")
-    long_ = counts[order]
+    long_, fresh, before, after = counts[order], first[order], before[order], after[order]
     begin = (np.cumsum(counts) - counts)[order]
-    most = int(long_[0]) if len(long_) else 0
-    active = np.searchsorted(-long_, -np.arange(most), side="left")  # texts longer than t
+    longest = int(long_[0]) if len(long_) else 0
+    active = np.searchsorted(-long_, -np.arange(longest), side="left")  # segments longer than t
     ahead, behind = np.empty(len(emission)), np.zeros(len(emission))
+    some = long_ > 0
+    behind[(begin + long_ - 1)[some]] = after[some]
     (c0, c1), (t0, t1) = steps
-    for t in range(most):
+    for t in range(longest):
         at = begin[: active[t]] + t
-        if t == 0:
-            ahead[at] = emission[at]
-        else:
-            r = ahead[at - 1]
-            ahead[at] = emission[at] + _soft(r + t1, c1) - _soft(r + t0, c0)
-    for t in range(most - 2, -1, -1):
+        r = before[: active[t]] if t == 0 else ahead[at - 1]
+        moved = _soft(r + t1, c1) - _soft(r + t0, c0)
+        ahead[at] = emission[at] + (np.where(fresh[: active[t]], 0, moved) if t == 0 else moved)
+    for t in range(longest - 2, -1, -1):
         at = begin[: active[t + 1]] + t
         s = emission[at + 1] + behind[at + 1]
         behind[at] = _soft(s + t1, t0) - _soft(s + c1, c0)
@@ -118,50 +177,49 @@ def document_features(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(counts)), np.log1p(np.maximum(mass, 0)), top, mass / np.maximum(counts, 1)], axis=1)
 
 
-def train_chain(features: np.ndarray, label: np.ndarray, sizes: np.ndarray | None = None, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def train_chain(features: np.ndarray, label: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Gradient ascent on windows (n, WINDOW, 3) with token labels (n, WINDOW); only the first `sizes` places of each window are tokens."""
     n, width, _ = features.shape
     inside = np.arange(width) < (np.full(n, width) if sizes is None else sizes)[:, None]
+    places = [features[:, :, k].ravel() for k in range(3)]
     tables, steps = np.zeros((3, 1 << BITS)), np.zeros((2, 2))
     squared, squared_steps = np.zeros_like(tables), np.zeros((2, 2))
+    seen = [[np.where(inside[:, 1:], (label[:, :-1] == i) & (label[:, 1:] == j), 0).sum() for j in range(2)] for i in range(2)]
     for _ in range(STEPS):
-        e = sum(tables[k][features[:, :, k]] for k in range(3))
-        # scores of states 0 and 1; alpha and beta in logs
-        score = np.stack([np.zeros_like(e), e], axis=2)
-        alpha, beta = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-        alpha[:, 0] = score[:, 0]
+        # Forward and backward for states 0 and 1, scaled at each place, so that nothing overflows.
+        up = np.exp(np.clip(sum(tables[k][places[k]] for k in range(3)), -30, 30)).reshape(n, width).T.astype(np.float32)
+        move = np.exp(steps).astype(np.float32)
+        alpha, beta = np.empty((2, width, n), dtype=np.float32), np.empty((2, width, n), dtype=np.float32)
+        alpha[0, 0], alpha[1, 0] = 1 / (1 + up[0]), up[0] / (1 + up[0])
         for t in range(1, width):
-            ahead = score[:, t] + _soft(alpha[:, t - 1, :1] + steps[0], alpha[:, t - 1, 1:] + steps[1])
-            alpha[:, t] = np.where(inside[:, t, None], ahead, alpha[:, t - 1])
+            low = alpha[0, t - 1] * move[0, 0] + alpha[1, t - 1] * move[1, 0]
+            high = (alpha[0, t - 1] * move[0, 1] + alpha[1, t - 1] * move[1, 1]) * up[t]
+            share = high / (low + high)
+            alpha[1, t] = np.where(inside[:, t], share, alpha[1, t - 1])
+            alpha[0, t] = 1 - alpha[1, t]
+        beta[:, -1] = 0.5
         for t in range(width - 2, -1, -1):
-            nxt = score[:, t + 1] + beta[:, t + 1]
-            beta[:, t] = np.where(inside[:, t + 1, None], _soft(nxt[:, :1] + steps[:, 0], nxt[:, 1:] + steps[:, 1]), 0)
-        z = _soft(alpha[:, -1, 0], alpha[:, -1, 1])
-        p = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None])
+            low, high = beta[0, t + 1], up[t + 1] * beta[1, t + 1]
+            zero, one = move[0, 0] * low + move[0, 1] * high, move[1, 0] * low + move[1, 1] * high
+            beta[1, t] = np.where(inside[:, t + 1], one / (zero + one), 0.5)
+            beta[0, t] = 1 - beta[1, t]
+        toxic = alpha[1] * beta[1]
+        p = (toxic / (toxic + alpha[0] * beta[0])).T
         miss = np.where(inside, label - p, 0) / n
         for k in range(3):
-            grad = np.bincount(features[:, :, k].ravel(), weights=miss.ravel(), minlength=1 << BITS) - L2 / n * tables[k]
+            grad = np.bincount(places[k], weights=miss.ravel(), minlength=1 << BITS) - L2 / n * tables[k]
             squared[k] += grad**2
             tables[k] += 0.5 * grad / (np.sqrt(squared[k]) + 1e-9)
+        pairs = [[alpha[i, :-1] * move[i, j] * beta[j, 1:] * (up[1:] if j else 1) for j in range(2)] for i in range(2)]
+        whole = pairs[0][0] + pairs[0][1] + pairs[1][0] + pairs[1][1]
         for i in range(2):
             for j in range(2):
-                pair = np.exp(alpha[:, :-1, i] + steps[i, j] + score[:, 1:, j] + beta[:, 1:, j] - z[:, None, None].squeeze(2))
-                seen = (label[:, :-1] == i) & (label[:, 1:] == j)
-                g = float(np.where(inside[:, 1:], seen - pair, 0).sum()) / n
+                g = float(seen[i][j] - np.where(inside[:, 1:].T, pairs[i][j] / whole, 0).sum(dtype=float)) / n
                 squared_steps[i, j] += g**2
                 steps[i, j] += 0.2 * g / (np.sqrt(squared_steps[i, j]) + 1e-9)
     return tables, steps
 
 
-def windows(rows: list[np.ndarray], taken: list[tuple[int, int]]) -> np.ndarray:
-    """WINDOW places of rows[i] from a on for each (i, a) of taken; zeros behind the end."""
-    out = np.zeros((len(taken), WINDOW, *rows[0].shape[1:]), dtype=rows[0].dtype)
-    for k, (i, a) in enumerate(taken):
-        part = rows[i][a : a + WINDOW]
-        out[k, : len(part)] = part
-    return out
-
-
 def _copies(keys: np.ndarray) -> np.ndarray:
     """A weight for each document: one over the number of its near copies in the sample (itself included)."""
     root = list(range(len(keys)))
@@ -193,86 +251,167 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) ->
     return coef
 
 
-def fit(features: list[np.ndarray], keys: np.ndarray, toxic: np.ndarray, share: float) -> Chain | None:
-    """A chain from each document's token features, the bands of its signature and its label; share is the toxic share of all labels."""
-    if not len(features) or toxic.min() == toxic.max():
+def lexicon(bad: np.ndarray, every: np.ndarray, rate: float) -> np.ndarray:
+    """Token types that toxic documents have far more often than chance, from weighted counts of documents by type."""
+    z = (bad - rate * every) / np.sqrt(np.maximum(every * rate * (1 - rate), 1e-9))
+    z[(every < 3) | (bad < 0.6 * every)] = 0
+    found = z >= Z
+    return found if found.any() else (z >= 3) & (z >= np.sort(z)[-10])
+
+
+def _draws(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed & ((1 << 63) - 1)).integers(0, 1 << 62, n)
+
+
+@dataclass
+class Sample:
+    """A bounded sample of labelled texts as token features: a table (doc, seed, toxic, raw), and each one's weight."""
+
+    table: DataFrame
+    weight: dict[str, float]
+
+    def types(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted numbers of toxic and of all documents by token type."""
+        shared = self.table.sparkSession.sparkContext.broadcast(self.weight)
+
+        def run(batches):
+            bad, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
+            for batch in sliced(batches):
+                for doc, toxic, f in _rows(batch):
+                    types = np.unique(f[:, 0])
+                    every[types] += shared.value.get(doc, 0.0)
+                    bad[types] += shared.value.get(doc, 0.0) * toxic
+            seen = np.flatnonzero(every)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(bad[seen]), pa.array(every[seen])], ["place", "bad", "every"])
+
+        got = in_batches(self.table, run, "place int, bad double, every double").groupBy("place").agg(F.sum("bad").alias("bad"), F.sum("every").alias("every"))
+        bad, every = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for r in got.collect():  # 2 ** BITS rows at most
+            bad[r["place"]], every[r["place"]] = r["bad"], r["every"]
+        return bad, every
+
+    def windows(self, marked: np.ndarray, chain: Chain | None, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features, labels and sizes of at most `most` windows, those of smallest hash.
+
+        Without a chain: windows around the marked tokens of toxic documents, and others at random places of all.
+        With one: windows around tokens of clean documents that it takes for toxic.
+        """
+        shared = self.table.sparkSession.sparkContext.broadcast((marked, chain))
+
+        def run(batches):
+            known, model = shared.value
+            for batch in sliced(batches):
+                out, rows = [], list(_rows(batch))
+                counts = np.array([len(f) for _, _, f in rows], dtype=np.int64)
+                ends = np.cumsum(counts)
+                if model is not None and len(rows):
+                    p = marginals(model.emissions(np.concatenate([f for _, _, f in rows])).astype(float), counts, model.steps)
+                for k, ((_, toxic, f), seed) in enumerate(zip(rows, batch.column("seed").to_pylist(), strict=True)):
+                    mark, last = known[f[:, 0]] & bool(toxic), max(0, len(f) - WINDOW)
+                    if model is None:
+                        hits = np.flatnonzero(mark)
+                        at = np.concatenate([np.clip(hits - WINDOW // 2, 0, last), _draws(seed, 1 + len(hits) // 2) % (last + 1)])
+                    elif toxic:
+                        continue
+                    else:
+                        at = np.clip(np.flatnonzero(p[ends[k] - counts[k] : ends[k]] > MISTAKEN) - WINDOW // 2, 0, last)
+                    key = _draws(seed + 1, len(at))
+                    for i in np.argsort(key, kind="stable")[:most].tolist():
+                        a = int(at[i])
+                        out.append((int(key[i]), f[a : a + WINDOW].tobytes(), mark[a : a + WINDOW].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["key", "raw", "marks"])
+
+        got = in_batches(self.table, run, "key long, raw binary, marks binary").orderBy("key", "raw").limit(most).collect()
+        features, labels, sizes = np.zeros((len(got), WINDOW, 3), dtype=np.int32), np.zeros((len(got), WINDOW)), np.zeros(len(got), dtype=int)
+        for k, r in enumerate(got):
+            sizes[k] = len(r["marks"])
+            features[k, : sizes[k]] = np.frombuffer(bytes(r["raw"]), dtype=np.int32).reshape(-1, 3)
+            labels[k, : sizes[k]] = np.frombuffer(bytes(r["marks"]), dtype=bool)
+        return features, labels, sizes
+
+    def documents(self, chain: Chain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """document_features, label and weight of each document, in order of doc."""
+        shared = self.table.sparkSession.sparkContext.broadcast(chain)
+
+        def run(batches):
+            for batch in sliced(batches):
+                rows = list(_rows(batch))
+                counts = np.array([len(f) for _, _, f in rows], dtype=np.int64)
+                every = np.concatenate([np.zeros((0, 3), dtype=np.int32), *(f for _, _, f in rows)])
+                x = document_features(marginals(shared.value.emissions(every).astype(float), counts, shared.value.steps), counts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("toxic"), pa.array(list(x), pa.list_(pa.float64()))], ["doc", "toxic", "x"])
+
+        got = sorted(in_batches(self.table, run, "doc string, toxic int, x array<double>").limit(8 * TRAIN_EACH).collect(), key=lambda r: (r["doc"], r["x"]))
+        return np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], dtype=float), np.array([self.weight.get(r["doc"], 0.0) for r in got])
+
+
+def _rows(batch):
+    for doc, toxic, raw in zip(*(batch.column(c).to_pylist() for c in ("doc", "toxic", "raw")), strict=True):
+        yield doc, toxic, np.frombuffer(raw, dtype=np.int32).reshape(-1, 3)
+
+
+def fit(sample: Sample, toxic: dict[str, int], share: float) -> Chain | None:
+    """A chain from a sample, its labels by doc and the toxic share of all labels."""
+    if len(set(toxic.values())) < 2:
         return None
-    weight = _copies(keys)
-    first = [np.unique(f[:, 0]) for f in features]
-    type_ = np.concatenate(first)
-    owner = np.repeat(np.arange(len(features)), [len(f) for f in first])
-    bad = np.bincount(type_, weights=(weight * toxic)[owner], minlength=1 << BITS)
-    all_ = np.bincount(type_, weights=weight[owner], minlength=1 << BITS)
-    rate = (weight * toxic).sum() / weight.sum()
-    z = (bad - rate * all_) / np.sqrt(np.maximum(all_ * rate * (1 - rate), 1e-9))
-    z[(all_ < 3) | (bad < 0.6 * all_)] = 0
-    lexicon = z >= Z
-    if not lexicon.any():
-        lexicon = (z >= 3) & (z >= np.sort(z)[-10])
-    rng = np.random.default_rng(3)
-    marks = [lexicon[f[:, 0]] & bool(t) for f, t in zip(features, toxic.tolist(), strict=True)]
-    counts = np.array([len(f) for f in features])
-    ends, every = np.cumsum(counts), np.concatenate(features)
-    taken: list[tuple[int, int]] = []
-    for i, f in enumerate(features):
-        hits = np.flatnonzero(marks[i])
-        last = max(0, len(f) - WINDOW)
-        at = np.concatenate([np.clip(hits - WINDOW // 2, 0, last), rng.integers(0, last + 1, 1 + len(hits) // 2)])
-        taken += [(i, a) for a in at.tolist()]
-    taken = [taken[k] for k in rng.permutation(len(taken))[:WINDOWS]]
+    weight = sum(sample.weight.values())
+    rate = sum(sample.weight[d] * y for d, y in toxic.items()) / weight
+    marked = lexicon(*sample.types(), rate)
+    taken = sample.windows(marked, None, WINDOWS)
     chain = Chain(np.zeros((3, 1 << BITS), dtype=np.float32), np.zeros((2, 2)), np.zeros(4))
-    for _ in range(ROUNDS if taken else 0):
-        sizes = np.minimum(counts[[i for i, _ in taken]], WINDOW)
-        tables, steps = train_chain(windows(features, taken), windows(marks, taken).astype(float), sizes)
+    for _ in range(ROUNDS if len(taken[2]) else 0):
+        tables, steps = train_chain(*taken)
         chain = Chain(tables.astype(np.float32), steps, np.zeros(4))
-        # Clean documents' tokens that the chain takes for toxic join the next round's windows.
-        wrong = np.flatnonzero((marginals(chain.emissions(every).astype(float), counts, steps) > MISTAKEN) & ~np.repeat(toxic.astype(bool), counts))
-        own = np.searchsorted(ends, wrong, side="right")
-        begin = np.clip(wrong - (ends - counts)[own] - WINDOW // 2, 0, np.maximum(counts[own] - WINDOW, 0))
-        hard = list(zip(own.tolist(), begin.tolist(), strict=True))
-        if not hard:
+        hard = sample.windows(marked, chain, WINDOWS // 4)
+        if not len(hard[2]):
             break
-        taken += [hard[k] for k in rng.permutation(len(hard))[: WINDOWS // 4]]
-    p = marginals(chain.emissions(every).astype(float), counts, steps)
-    balance = np.where(toxic == 1, share / max(toxic.mean(), 1e-9), (1 - share) / max(1 - toxic.mean(), 1e-9))
-    chain.document = logistic(document_features(p, counts), toxic.astype(float), weight * balance)
+        taken = tuple(np.concatenate([a, b]) for a, b in zip(taken, hard, strict=True))
+    x, y, w = sample.documents(chain)
+    balance = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
+    chain.document = logistic(x, y, w * balance)
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH, most_words: int = TRAIN_WORDS) -> Chain | None:
+def sampled(s: Scratch, docs: DataFrame, chosen: DataFrame) -> tuple[Sample, dict[str, int]]:
+    """The sample of docs (doc_id, text) with labels chosen (doc_id, toxic), and the labels by doc."""
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
+
+    def run(batches):
+        for batch in sliced(batches):
+            raw = [x.encode() for x in batch.column("text").to_pylist()]
+            keys = [signature(x).tobytes() if len(x) else b"" for x in shingle_sets(raw, 2)]
+            found = [part.tobytes() for _, _, f, counts, _, _ in tokens(raw) for part in np.split(f, np.cumsum(counts)[:-1])]
+            seed = pa.array([int(mix(np.frombuffer(hashlib.md5(x).digest()[:8], dtype=U))[0] >> U(2)) for x in raw], pa.int64())
+            some = pa.array([i for i, x in enumerate(found) if x], pa.int64())
+            columns = [batch.column("doc_id").cast(pa.string()), seed, batch.column("toxic").cast(pa.int32()), pa.array(found, pa.binary()), pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.take(some) for c in columns], ["doc", "seed", "toxic", "raw", "keys"])
+
+    table = s.keep(in_batches(texts, run, "doc string, seed long, toxic int, raw binary, keys binary"))
+    # Labels and signatures of the bounded sample; the limit only matters where chosen doc_ids repeat.
+    got = sorted(table.select("doc", "toxic", "keys").limit(8 * TRAIN_EACH).collect(), key=lambda r: (r["doc"], bytes(r["keys"])))
+    weights = _copies(np.array([np.frombuffer(bytes(r["keys"]), dtype="<u8") for r in got])) if got else []
+    weight: dict[str, float] = {}
+    for r, w in zip(got, weights, strict=True):
+        weight[r["doc"]] = max(weight.get(r["doc"], 0.0), float(w))
+    return Sample(table.select("doc", "seed", "toxic", "raw"), weight), {r["doc"]: r["toxic"] for r in got}
+
+
+def train(docs: DataFrame, labels: DataFrame, each: int = TRAIN_EACH) -> Chain | None:
     """A chain from docs (doc_id, text) and labels (doc_id, toxic), from a bounded sample of the labelled rows."""
     known = labels.where("toxic IN (0, 1)").select("doc_id", "toxic")
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = per_class(known, "toxic", each, 2 * each).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").where(n_words(F.col("text")).between(1, most_words))
-
-    def run(batches):
-        for batch in sliced(batches):
-            texts = [x.encode() for x in batch.column("text").to_pylist()]
-            keys = [signature(s).tobytes() for s in shingle_sets(texts, 2)]
-            raw = []
-            for _, _, f, counts, _, _ in tokens(texts):
-                for part in np.split(f, np.cumsum(counts)[:-1]):
-                    raw.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.string()), batch.column("toxic"), pa.array(raw, pa.binary()), pa.array(keys, pa.binary())], ["doc", "toxic", "raw", "keys"]
-            )
-
-    toxic_type = dict(sample.dtypes)["toxic"]
-    got = sample.mapInArrow(run, f"doc string, toxic {toxic_type}, raw binary, keys binary").limit(4 * each).collect()
-    got = sorted((r for r in got if len(r["raw"])), key=lambda r: (r["doc"], bytes(r["raw"])))
-    features = [np.frombuffer(bytes(r["raw"]), dtype=np.int32).reshape(-1, 3) for r in got]
-    keys = np.array([np.frombuffer(bytes(r["keys"]), dtype="<u8") for r in got])
-    share = totals.get(1, 0) / max(1, sum(totals.values()))
-    return fit(features, keys, np.array([r["toxic"] for r in got], dtype=int), share)
+    with Scratch(docs.sparkSession) as s:
+        sample, toxic = sampled(s, docs, chosen)
+        return fit(sample, toxic, totals.get(1, 0) / max(1, sum(totals.values())))
 
 
 def _spans(text: bytes, starts: np.ndarray, stops: np.ndarray) -> list[dict]:
     """Runs of neighbouring toxic tokens as code point offsets."""
-    out = []
-    for a, b in zip(starts.tolist(), stops.tolist(), strict=True):
-        out.append({"start": len(text[:a].decode()), "stop": len(text[:b].decode()), "text": text[a:b].decode()})
-    return out
+    if not len(starts):
+        return []
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80)])
+    return [{"start": int(points[a]), "stop": int(points[b]), "text": text[a:b].decode()} for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
 
 
 def _judge(chain: Chain, texts: list[bytes]):
@@ -318,7 +457,7 @@ def score(docs: DataFrame, chain: Chain | None, spans: bool = False) -> DataFram
                 names.append("spans")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_batches(docs.select("doc_id", "text"), run, schema)
 
 
 def clean(docs: DataFrame, chain: Chain | None) -> DataFrame:
@@ -332,12 +471,14 @@ def clean(docs: DataFrame, chain: Chain | None) -> DataFrame:
             texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
             yield batch.take(pa.array(np.flatnonzero(_scores(shared.value, texts) < 0.5)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """spans: the offending offsets, as start and stop in code points."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = held_out(5, 0)
     chain = train(docs, labels.where(~out))
-    return score(docs, chain).select("doc_id", out.alias("held_out"), "score", "predicted")
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",")
+    return score(docs, chain, spans=True).select("doc_id", out.alias("held_out"), "score", "predicted", spans.alias("spans"))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import langid, quality_classifier, toxicity
-from lectern.llm.samples import held_out
+from lectern.llm.samples import held_out, per_class
 
 
 def _sets(spark, n=240):
@@ -136,21 +136,91 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, none):
 
 
 @pytest.mark.parametrize("size, at", [(8, 3), (60, 59)])
-def test_toxic_tokens_in_short_texts_and_at_ends_are_learned(size, at):
+def test_toxic_tokens_in_short_texts_and_at_ends_are_learned(spark, size, at):
     rng = np.random.default_rng(2)
-    texts = []
+    rows = []
     for i in range(400):
         w = [f"word{k}" for k in rng.integers(0, 60, size)]
         if i % 4 == 0:
             w[at] = "vile"
-        texts.append(" ".join(w).encode())
-    parts = [part for _, _, f, n, _, _ in toxicity.tokens(texts) for part in np.split(f, np.cumsum(n)[:-1])]
-    chain = toxicity.fit(parts[:300], np.arange(300)[:, None], np.array([int(i % 4 == 0) for i in range(300)]), 0.25)
-    held = parts[300:]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    chain = toxicity.train(docs, labels)
+    held = [part for _, _, f, n, _, _ in toxicity.tokens([t.encode() for _, t in rows[300:]]) for part in np.split(f, np.cumsum(n)[:-1])]
     p = toxicity.marginals(chain.emissions(np.concatenate(held)).astype(float), np.full(100, size), chain.steps).reshape(100, size)
     assert ((p >= 0.5) == [[i % 4 == 0 and k == at for k in range(size)] for i in range(300, 400)]).all()
 
 
+def test_segments_give_the_same_marginals():
+    """Texts in segments of any size, against one recursion over each whole text."""
+    rng = np.random.default_rng(7)
+    counts = np.array([0, 1, 5, 64, 65, 7, 200, 0, 33])
+    e, steps = rng.normal(scale=3, size=counts.sum()), rng.normal(scale=2, size=(2, 2))
+    want = toxicity.marginals(e, counts, steps, most=10**9)
+    for most in (1, 2, 8, 64, 100):
+        assert np.allclose(toxicity.marginals(e, counts, steps, most=most), want, atol=1e-9)
+
+
+def test_gradient_is_that_of_the_likelihood(monkeypatch):
+    """One training step moves each weight by the sign of the numerical gradient of the labels' log likelihood."""
+    rng = np.random.default_rng(9)
+    f, y = rng.integers(0, 4, (3, 4, 3)), rng.integers(0, 2, (3, 4)).astype(float)
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    monkeypatch.setattr(toxicity, "BITS", 3)
+    tables, steps = toxicity.train_chain(f, y)
+
+    def likelihood(t, s):
+        total = 0.0
+        for x, lab in zip(f, y.astype(int), strict=True):
+            def value(path):
+                return sum(t[k][x[i, k]] * path[i] for i in range(4) for k in range(3)) + sum(s[path[i], path[i + 1]] for i in range(3))
+            total += value(lab) - np.log(sum(np.exp(value(p)) for p in np.ndindex(2, 2, 2, 2)))
+        return total
+
+    zero, none = np.zeros((3, 8)), np.zeros((2, 2))
+    for k in range(3):
+        for i in range(8):
+            up = zero.copy()
+            up[k, i] = 1e-5
+            slope = (likelihood(up, none) - likelihood(zero, none)) / 1e-5
+            assert abs(slope) < 1e-4 or np.sign(slope) == np.sign(tables[k, i])
+    for i, j in np.ndindex(2, 2):
+        up = none.copy()
+        up[i, j] = 1e-5
+        slope = (likelihood(zero, up) - likelihood(zero, none)) / 1e-5
+        assert abs(slope) < 1e-4 or np.sign(slope) == np.sign(steps[i, j])
+
+
+def test_lexicon_and_document_score_equal_brute_force():
+    bad, every = np.array([9.0, 1.0, 0.0, 3.0]), np.array([10.0, 10.0, 40.0, 4.0])
+    rate = 0.1
+    z = [(b - rate * n) / (n * rate * (1 - rate)) ** 0.5 for b, n in zip(bad, every, strict=True)]
+    want = [zz >= toxicity.Z and b >= 0.6 * n and n >= 3 for zz, b, n in zip(z, bad, every, strict=True)]
+    assert toxicity.lexicon(bad, every, rate).tolist() == want
+    p, counts = np.array([0.5, 0.25, 0.9]), np.array([2, 0, 1])
+    got = toxicity.document_features(p, counts)
+    assert np.allclose(got, [[1, np.log1p(0.75), 0.5, 0.375], [1, 0, 0, 0], [1, np.log1p(0.9), 0.9, 0.9]])
+    chain = toxicity.Chain(np.zeros((3, 1 << toxicity.BITS), dtype=np.float32), np.zeros((2, 2)), np.array([0.1, 0.2, 0.3, 0.4]))
+    x = [1, np.log1p(1.0), 0.5, 0.5]  # two tokens, each of probability one half
+    assert np.allclose(toxicity._scores(chain, [b"some words", b""]), [1 / (1 + np.exp(-np.dot(x, chain.document))), 1 / (1 + np.exp(-0.1))])
+
+
+@pytest.mark.parametrize(("each", "most"), [(5, 100), (3, 7), (1000, 5000)])
+def test_samples_are_those_of_smallest_hash(spark, each, most):
+    rows = [(i, "abc"[min(2, i % 10 // 4)]) for i in range(3000)] + [(5, "a")] * 50 + [(None, "a"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, k string")
+    hashed = {r.doc_id: r.h for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("h")).collect()}
+    ranked = []
+    for c in "abc":
+        mine = sorted({i for i, k in rows if k == c and i is not None}, key=lambda i: hashed[i])[:each]
+        ranked += [(n, i, c) for n, i in enumerate(mine)]
+    got = {(r.doc_id, r.k) for r in per_class(df, "k", each, most).collect()}
+    assert got <= {(i, c) for _, i, c in ranked} and len(got) == min(most, len(ranked))
+    last = sorted(ranked)[min(most, len(ranked)) - 1][0]
+    assert {(i, c) for n, i, c in ranked if n < last} <= got
+
+
 def test_places_behind_a_window_do_not_count():
     rng = np.random.default_rng(4)
     f, y = rng.integers(0, 50, (6, 5, 3)), rng.integers(0, 2, (6, 5)).astype(float)
