@@ -12,7 +12,8 @@ those with the smallest hashed doc_id. Whole texts are used for training and sco
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the
 language that comes first by code point; with no labelled text at all, all are ``und``; repeated rows
-are each judged; an empty table gives an empty result; other columns are ignored.
+are each judged; very long texts are judged whole, a piece in memory at a time; an empty table gives an empty result; other
+columns, whatever their names, are ignored (`recognised` carries them).
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import in_batches
 from lectern.llm.samples import held_out, per_class
 from lectern.llm.textcore import sliced
 
@@ -34,7 +36,8 @@ LANDMARKS = 256
 RIDGE = 1e-2
 TRAIN_EACH = 500
 TRAIN_MOST = 4000
-GROUP_CHARS = 500_000
+#: Texts are taken in groups of so many characters and texts at most, as each takes DIMS numbers.
+GROUP_CHARS, GROUP_TEXTS = 250_000, 128
 
 _letter = None
 
@@ -51,19 +54,28 @@ def presence(texts: list[str]):
     """(from, to, presence matrix, has a letter) for runs of texts of about GROUP_CHARS characters."""
     at, size = 0, 0
     for k, t in enumerate(texts):
+        if len(t) > GROUP_CHARS:
+            if at < k:
+                yield at, k, *_presence(texts[at:k])
+            # A long text in pieces; each has the first two characters of the next, so that no n-gram is lost.
+            cuts = range(0, len(t), GROUP_CHARS)
+            parts = [_presence([t[a : a + GROUP_CHARS + 2]], "" if a + GROUP_CHARS < len(t) else "   ") for a in cuts]
+            yield k, k + 1, np.logical_or.reduce([x for x, _ in parts]), np.logical_or.reduce([has for _, has in parts])
+            at, size = k + 1, 0
+            continue
         size += len(t)
-        if size >= GROUP_CHARS or (k + 1 - at) >= 512 or k + 1 == len(texts):
+        if size >= GROUP_CHARS or (k + 1 - at) >= GROUP_TEXTS or k + 1 == len(texts):
             yield at, k + 1, *_presence(texts[at : k + 1])
             at, size = k + 1, 0
 
 
-def _presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _presence(texts: list[str], end: str = "   ") -> tuple[np.ndarray, np.ndarray]:
     low = [t.lower() for t in texts]
-    codes = np.frombuffer(("   ".join(low) + "   ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    codes = np.frombuffer((end.join(low) + end).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     flat = codes < 1 << 16
     letter = np.where(flat, _letters()[np.where(flat, codes, 0)], True)
     codes = np.where(letter, codes, np.uint32(32))
-    ends = np.cumsum(np.fromiter((len(t) + 3 for t in low), dtype=np.int64, count=len(low)))
+    ends = np.cumsum(np.fromiter((len(t) + len(end) for t in low), dtype=np.int64, count=len(low)))
     doc = np.repeat(np.arange(len(low), dtype=np.int64), np.diff(ends, prepend=0))
     has = np.zeros(len(low), dtype=bool)
     has[doc[letter & flat]] = True
@@ -147,7 +159,7 @@ def train(docs: DataFrame, each: int = TRAIN_EACH, most: int = TRAIN_MOST) -> Mo
                     out[i] = packed[i - lo].tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(out, pa.binary())], ["lang", "h", "bits"])
 
-    got = sample.select("text", "lang", F.xxhash64("doc_id").alias("h")).mapInArrow(run, "lang string, h long, bits binary").limit(2 * most).collect()
+    got = in_batches(sample.select("text", "lang", F.xxhash64("doc_id").alias("h")), run, "lang string, h long, bits binary").limit(2 * most).collect()
     got = sorted(got, key=lambda r: (r["h"], r["lang"], bytes(r["bits"])))
     return fit([bytes(r["bits"]) for r in got], [r["lang"] for r in got])
 
@@ -163,7 +175,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = m.decide(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model, languages: tuple[str, ...] | None = None, least: float | None = None) -> DataFrame:
@@ -183,7 +195,7 @@ def recognised(docs: DataFrame, model: Model, languages: tuple[str, ...] | None
             langs, scores = m.decide(batch.column("text").to_pylist())
             yield batch.take(pa.array([i for i, (x, s) in enumerate(zip(langs, scores, strict=True)) if x in wanted and s >= least], pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
