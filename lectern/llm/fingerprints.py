@@ -6,14 +6,16 @@ merge by union, and their overlap estimates containment between very unequal doc
 text none of whose hashes is below the threshold is held by its smallest hash. The fingerprint is
 the sketch's sorted hashes, 12 hex digits each.
 
-The query also needs each document's successor by descending doc_id. Documents are dealt to ranges
-of about RANGE documents, cut at quantiles of doc_id and evenly inside each quantile; a window
-looks one row ahead in a range, and a row per range carries on to the next range.
+The query also needs each document's successor by descending doc_id. Documents are dealt to ranges of about RANGE
+documents, cut at quantiles of doc_id, and each of those at quantiles of its own, so that clustered ids are dealt
+as evenly as others (at most QUANTILES * INSIDE ranges; larger tables have larger ranges). Null ids are dealt by their text's MD5. A
+window looks one row ahead in a range, and a row per range carries on to the next range.
 
 Defined results: a null text is empty; an empty text has an empty sketch and fingerprint; fewer
 words than WIDTH are one shingle of them all; two empty sketches are alike by 1, an empty and
-another by 0; equal doc_ids are ordered by their text, null doc_ids come last; an empty table
-gives an empty result; other columns are ignored.
+another by 0; equal doc_ids (ties) are ordered by their text, null doc_ids come last, by their text's MD5; very long texts are
+sketched whole, with sketches in proportion; rows that repeat one doc_id are one range, whose window spills to disk; an empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ WIDTH = 5
 #: Hashes whose first hex digit is below this are kept: one in eight.
 BELOW = "2"
 RANGE = 1000
-QUANTILES = 256
+QUANTILES, INSIDE = 256, 1024
 
 
 def sketch(text: str, width: int = WIDTH, below: str = BELOW) -> Column:
@@ -37,10 +39,9 @@ def sketch(text: str, width: int = WIDTH, below: str = BELOW) -> Column:
         f"""element_at(transform(array(regexp_extract_all({text}, '{WORD.replace(chr(92), chr(92) * 2)}', 0)), w ->
         CASE WHEN size(w) = 0 THEN cast(array() AS array<string>)
              WHEN size(w) < {width} THEN array(substr(md5(array_join(w, ' ')), 1, 12))
-             ELSE element_at(transform(array(transform(sequence(0, size(w) - {width}), i -> md5(concat_ws(' ', {gram})))), all ->
+             ELSE element_at(transform(array(transform(sequence(0, size(w) - {width}), i -> substr(md5(concat_ws(' ', {gram})), 1, 12))), all ->
                element_at(transform(array(filter(all, h -> h < '{below}')), low ->
-                 CASE WHEN size(low) > 0 THEN sort_array(array_distinct(transform(low, h -> substr(h, 1, 12))))
-                      ELSE array(substr(array_min(all), 1, 12)) END), 1)), 1) END), 1)"""
+                 CASE WHEN size(low) > 0 THEN sort_array(array_distinct(low)) ELSE array(array_min(all)) END), 1)), 1) END), 1)"""
     )
 
 
@@ -57,37 +58,43 @@ def containment(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN size({a}) = 0 THEN 1D ELSE size(array_intersect({a}, {b})) / cast(size({a}) AS double) END")
 
 
-def ranges(docs: DataFrame, rows: int = RANGE) -> tuple[Column, int]:
-    """A column that deals doc_id, in order, to ranges of about `rows` documents; null goes below all."""
+def _at_or_below(bounds: Column, value: Column) -> Column:
+    return F.size(F.filter(bounds, lambda x: x <= value))
+
+
+def ranged(docs: DataFrame, rows: int = RANGE) -> DataFrame:
+    """docs (doc_id, text) with `range`, in the order of doc_id and about `rows` documents each, and `tie`, the order of null ids (below all)."""
+    tie = F.when(F.col("doc_id").isNull(), F.md5("text"))
+    nulls = F.lit(-1).cast("long") - F.conv(F.substring(tie, 1, 2), 16, 10).cast("long")
+    dealt = docs.withColumn("tie", tie)
     n = docs.count()
     cuts = max(1, min(QUANTILES, n // rows))
-    if n == 0 or cuts == 1:
-        return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(0).cast("long"), 2
-    at = [i / cuts for i in range(cuts + 1)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", at, 10_000)).first()[0] or [0]))
-    inside = max(1, -(-n // (cuts * rows)))
-    b = F.array(*[F.lit(int(x)).cast("long") for x in bounds])
-    k = F.greatest(F.lit(1), F.size(F.filter(b, lambda x: x <= F.col("doc_id"))))
-    low = F.get(b, k - 1)
-    wide = F.coalesce(F.get(b, k), low) - low + F.lit(1)
-    sub = F.greatest(F.lit(0), F.least(F.lit(inside - 1), F.floor((F.col("doc_id").cast("double") - low.cast("double")) * inside / wide.cast("double"))))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(k * inside + sub).cast("long"), (len(bounds) + 1) * inside + 1
+    inside = max(1, min(INSIDE, -(-n // (cuts * rows))))
+    outer = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else None
+    first = _at_or_below(F.array(*[F.lit(x) for x in sorted(set(outer))]), F.col("doc_id")) if outer else F.lit(0)
+    dealt = dealt.withColumn("__outer", first)
+    if inside == 1:
+        number = F.col("__outer").cast("long")
+    else:
+        # A row for each outer range, with at most INSIDE - 1 bounds.
+        bounds = dealt.where("doc_id IS NOT NULL").groupBy("__outer").agg(F.percentile_approx("doc_id", [i / inside for i in range(1, inside)], 4 * INSIDE).alias("__bounds"))
+        dealt = dealt.join(F.broadcast(materialise(bounds)), "__outer", "left")
+        number = F.col("__outer").cast("long") * INSIDE + F.coalesce(_at_or_below(F.array_distinct("__bounds"), F.col("doc_id")), F.lit(0))
+    return dealt.withColumn("range", F.when(F.col("doc_id").isNull(), nulls).otherwise(number)).select("doc_id", "text", "tie", "range")
 
 
 def edited(docs: DataFrame, rows: int = RANGE) -> DataFrame:
     """doc_id, text, n_chars, sketch, edited (text), next_sketch for each row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    number, _ = ranges(docs, rows)
-    dealt = docs.withColumn("range", number)
+    dealt = ranged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows)
     # A row for each range: its first doc_id and the range that follows it (the next lower one; after the lowest the highest).
     heads = dealt.groupBy("range").agg(F.max("doc_id").alias("top"))
     heads = materialise(heads.withColumn("leads", F.coalesce(F.lag("range").over(Window.partitionBy(F.lit(0)).orderBy("range").rowsBetween(-1, -1)), F.max("range").over(Window.partitionBy(F.lit(0))))))
     follow = heads.select(F.col("range").alias("from"), F.col("leads").alias("range"))
     n_ranges = heads.count()
     top = lookup_join(dealt, heads.select(F.col("range").alias("__r"), "top"), (F.col("range") == F.col("__r")) & F.col("doc_id").eqNullSafe(F.col("top")), n_ranges)
-    first = top.groupBy("range").agg(F.min("text").alias("head"))
+    first = top.groupBy("range").agg(F.min(F.struct("tie", "text"))["text"].alias("head"))
     heads = materialise(follow.join(first, "range").select(F.col("from").alias("__from"), "head"))
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), "tie", "text")
     # Sketches are made behind the shuffle, which then carries texts only.
     ahead = dealt.repartition("range").withColumn("sketch", sketch("text")).select("*", F.lead("text").over(order).alias("__text"), F.lead("sketch").over(order).alias("__sketch"))
     # Both sides are dealt by range, so that the join moves the heads only.
