@@ -1,8 +1,10 @@
 """Byte-balanced sharding of indivisible groups by Karmarkar-Karp differencing.
 
 Rows with equal texts form a group that stays in one shard. Only a group larger than a shard's
-fair share of all bytes, which no balanced layout can hold, is cut into the fewest near-equal runs
-that fit (fewer than ``shards`` groups can be so large, so that lookup is bounded).
+fair share of all bytes, which no balanced layout can hold, is cut by rank into the fewest equal runs
+that fit (rows of a group have one size; fewer than ``shards`` groups can be so large, so that lookup is bounded).
+Ranks come from counts of hash bins, so no group is ordered in one task, and the shards of units with many rows
+are looked up by broadcast (at most HOT * shards of them), so no such unit meets in one.
 
 Groups are dealt by hash to parts of about PART groups. In a part, each group starts as a tuple of
 sums (0, ..., 0, bytes); the two tuples of largest spread are combined again and again, one sorted
@@ -11,8 +13,10 @@ way, FAN at a time, until one tuple is left, whose places are the shards. Slots
 counts per (shard, bin), so no shard is ever sorted as a whole.
 
 Defined results: a null text has no bytes, CRC 0, and is a group apart from the empty text;
-repeated rows are rows of one group, each with a slot of its own; an empty table gives an empty
-result; other columns are ignored.
+repeated rows are rows of one group, each with a slot of its own; groups of equal bytes (ties) are taken by their
+text's MD5; very long texts count whole and are never cut, so one over a fair share makes its shard larger; which of
+equal rows falls behind a cut, and slots, depend on the input's partitioning; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ SHARDS = 24
 PART = 4096
 FAN = 512
 BIN_ROWS = 100_000
+#: Units of more than 1 / (HOT * shards) of all rows are looked up by broadcast.
+HOT = 64
 
 
 def difference(tuples: list[list[int]], k: int) -> list[list[int]]:
@@ -83,6 +89,20 @@ def _later(k: int):
     return run
 
 
+def _cut(rows: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
+    """rows with the run of each: of a heavy group (key, runs), runs of equal numbers of rows; 0 in other groups."""
+    bins = max(1, n // BIN_ROWS)
+    plain = rows.join(F.broadcast(heavy), "key", "left_anti").withColumn("run", F.lit(0).cast("long"))
+    large = rows.join(F.broadcast(heavy), "key").withColumn("__bin", F.pmod(F.xxhash64("rid"), F.lit(bins)))
+    counts = large.groupBy("key", "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy("key")
+    offsets = counts.select(
+        "key", "__bin", (F.sum("__n").over(whole.orderBy("__bin")) - F.col("__n")).alias("__ahead"), F.sum("__n").over(whole).alias("__all"))
+    ranked = large.withColumn("__at", F.row_number().over(Window.partitionBy("key", "__bin").orderBy("rid")) - 1)
+    ranked = lookup_join(ranked, offsets, ["key", "__bin"], bins * SHARDS)
+    return plain.unionByName(ranked.withColumn("run", F.floor((F.col("__ahead") + F.col("__at")) * F.col("runs") / F.col("__all")).cast("long")).select(*plain.columns))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FAN) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot per row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
@@ -99,8 +119,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FA
     fair = max(1, total // shards)
     heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > fair)
     heavy = heavy.select("key", F.ceil(F.col("bytes") / fair).cast("long").alias("runs"))  # fewer than `shards` + 1 rows
-    rows = rows.join(F.broadcast(heavy), "key", "left").withColumn("run", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("runs")), F.lit(0)).cast("long")).drop("runs")
-    units = rows.groupBy("key", "run").agg(F.sum("size").alias("bytes"))
+    if heavy.isEmpty():
+        rows = rows.withColumn("run", F.lit(0).cast("long"))
+    else:
+        rows = materialise(_cut(rows, materialise(heavy), n))
+    units = rows.groupBy("key", "run").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
+    units = materialise(units)
     parts = max(1, -(-units.count() // part))
     placed = materialise(
         units.withColumn("part", F.pmod(F.xxhash64("key", "run"), F.lit(parts)))
@@ -121,7 +145,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FA
         parts = -(-parts // fan)
     way = way.select("key", "run", F.col("place").cast("int").alias("shard"))
     bins = max(1, n // BIN_ROWS)
-    done = materialise(rows.join(way, ["key", "run"]).select("doc_id", "size", "text_crc32", "shard", "rid", F.pmod(F.xxhash64("rid"), F.lit(bins)).alias("bin")))
+    hot = materialise(units.where(F.col("n_rows") > max(1, n // (HOT * shards))).select("key", "run").join(way, ["key", "run"]))
+    found = rows.join(F.broadcast(hot), ["key", "run"])
+    rest = rows.join(F.broadcast(hot.select("key", "run")), ["key", "run"], "left_anti").join(way, ["key", "run"])
+    done = materialise(found.unionByName(rest).select("doc_id", "size", "text_crc32", "shard", "rid", F.pmod(F.xxhash64("rid"), F.lit(bins)).alias("bin")))
     counts = done.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bin", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))

@@ -1,6 +1,7 @@
 """URL filters, fingerprints, quality rules, packing and sharding."""
 
 import fnmatch
+import hashlib
 import re
 import zlib
 
@@ -22,6 +23,25 @@ def test_automaton_equals_patterns():
     assert fnmatch.fnmatch("f/g.exe", "*.exe")
 
 
+def test_long_texts_and_many_globs():
+    """A few long texts go on as large numbers, and any number of rules share the masks."""
+    globs = [f"~.h{i}.org/*" for i in range(10_000)] + ["*end", "*\\*", "\\?x*", "~é~"]
+    long_ = b"." + b"a" * 1_000_000 + b"end"
+    texts = [b".h77.org/x", long_, b"a*", b"?x", b"zx", "é".encode(), b"x" * 3000, b".h9999.org/"]
+    got = url_filter.Automaton.of(globs).run(texts)
+    hits = [[globs[j] for j in np.flatnonzero(row)] for row in got]
+    assert hits == [["~.h77.org/*"], ["*end"], ["*\\*"], ["\\?x*"], [], ["~é~"], [], ["~.h9999.org/*"]]
+
+
+def test_rules_are_literal_and_may_have_any_character(spark):
+    rules = spark.createDataFrame([("a.org/~joe/", "block"), ("жук.рф/", "block"), ("b.org/x*y?/", "block"), (None, "block")], "rule string, verdict string")
+    urls = ["http://a.org/~joe/1", "http://a.org/zzjoe/", "http://m.жук.рф/p", "http://b.org/x*y?/", "http://b.org/xayb/", "http://B.ORG/x*y"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.judge(df, url_filter.rule_table(rules), (), ()).collect()}
+    assert got == {0: "a.org/~joe/", 1: None, 2: "жук.рф/", 3: None, 4: None, 5: None}  # a ? ends a path
+    assert {r.verdict for r in url_filter.judge(df, (), (), ()).collect()} == {"allow"}
+
+
 def test_judging_urls(spark):
     cases = [
         ("http://Sub.WWW.example.com/en/x?q", "sub.www.example.com", "/en/x", "www.example.com/en/", "allow"),
@@ -67,6 +87,27 @@ def test_fingerprints_of_odd_rows(odd, odd_rows, none):
     assert fingerprints.edited(odd).count() == len(odd_rows)
 
 
+def test_ranges_hold_clustered_ids_evenly(spark):
+    """Half of the ids lie in a billionth of their span; nulls are dealt by their texts."""
+    ids = [*range(3000), *(10**15 + 7 * i for i in range(3000)), 10**18, *[None] * 500]
+    docs = spark.createDataFrame([(i, f"t{k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    got = fingerprints.ranged(docs, rows=20).collect()
+    sizes: dict = {}
+    for r in got:
+        sizes[r.range] = sizes.get(r.range, 0) + 1
+    assert len(got) == len(ids) and max(sizes.values()) < 80 and len(sizes) > 150
+    by = sorted((r.doc_id, r.range) for r in got if r.doc_id is not None)
+    assert [x for _, x in by] == sorted(x for _, x in by) and by[0][1] >= 0
+    assert all(r.range < 0 for r in got if r.doc_id is None)
+
+
+def test_edited_texts_of_null_ids_follow_one_chain(spark):
+    docs = spark.createDataFrame([(None, f"null {k}") for k in range(40)] + [(k, f"own {k}") for k in range(40)], "doc_id long, text string")
+    order = [f"own {k}" for k in range(39, -1, -1)] + sorted((f"null {k}" for k in range(40)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = {t: t[: len(t) - len(t) // 3] + order[(i + 1) % 80][: len(t) // 3] for i, t in enumerate(order)}
+    assert {r.text: r.edited for r in fingerprints.edited(docs, rows=7).collect()} == want
+
+
 def test_containment_between_unequal_documents(spark):
     long_ = " ".join(f"w{i}" for i in range(4000))
     part = " ".join(f"w{i}" for i in range(1000))
@@ -98,6 +139,28 @@ def test_order_of_rules_changes_no_verdict(odd):
     assert key(a) == key(b)
 
 
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    df = spark.createDataFrame([(i, i % 2, i % 10) for i in range(100)], "doc_id long, a int, b int")
+    cheap, dear, idle = (quality_rules.Rule(n, F.expr(c)) for n, c in (("cheap", "b = 0"), ("dear", "a = 0"), ("idle", "a > 5")))
+    cost = {"cheap": 0.01, "dear": 0.1, "idle": 0.001}  # 10 and 5 rejections a unit of cost, and none
+    assert [r.name for r in quality_rules.order_rules(df, [idle, dear, cheap], cost)] == ["cheap", "dear", "idle"]
+    assert quality_rules.order_rules(df.limit(0), [idle, dear], cost) == [idle, dear]
+
+
+def test_costs_are_those_of_evaluation(odd):
+    sample = quality_rules.features(odd).cache()
+    slow = quality_rules.Rule("slow", F.regexp_count("text", F.lit(r"(?:\\w*a){3}")) > 10**6)
+    fast = quality_rules.Rule("fast", F.col("n_words") > 10**6)
+    got = quality_rules.costs(sample, [slow, fast])
+    assert got["slow"] > got["fast"]
+
+
+def test_failed_rule_is_the_first_of_the_cascade(odd):
+    for these in (quality_rules.rules(), quality_rules.rules()[::-1]):
+        for r in quality_rules.judge(odd, these).collect():
+            assert r.kept == (r.failed_rule is None) and (r.failed_rule == "base") == r.base_failed
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(0)
     for n in (0, 1, 5, 300):
@@ -172,4 +235,46 @@ def test_sharding_of_nothing_and_of_one_huge_group(spark, none):
     assert sharding.shard(none).collect() == []
     docs = spark.createDataFrame([(i, "same text") for i in range(1000)], "doc_id long, text string")
     n = {r.shard: r.n for r in sharding.shard(docs, shards=4).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert len(n) == 4 and max(n.values()) - min(n.values()) < 120
+    assert n == {k: 250 for k in range(4)}
+
+
+def brute_difference(sizes, k):
+    """Differencing by its definition, on plain lists of (sum, members)."""
+    parts = [[([0, []]) for _ in range(k - 1)] + [[b, [i]]] for i, b in enumerate(sizes)]
+    parts = [sorted(p, key=lambda e: -e[0]) for p in parts]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: -(p[0][0] - p[-1][0]))
+        a, b = parts[0], parts[1]
+        parts = [sorted([[x[0] + y[0], x[1] + y[1]] for x, y in zip(a, reversed(b), strict=True)], key=lambda e: -e[0]), *parts[2:]]
+    return sorted(e[0] for e in parts[0]) if parts else []
+
+
+@pytest.mark.parametrize(("k", "seed"), [(2, 1), (3, 2), (5, 3), (24, 4)])
+def test_differencing_equals_brute_force(k, seed):
+    """Sizes without ties, so that the order of combining is fixed."""
+    rng = np.random.default_rng(seed)
+    sizes = [int(x) for x in np.cumsum(rng.integers(1, 997, 60)) ** 2 + rng.integers(0, 7, 60)]
+    places = sharding.difference([[0] * (k - 1) + [b] for b in sizes], k)
+    sums = [0] * k
+    for p, b in zip(places, sizes, strict=True):
+        sums[p[k - 1]] += b
+    assert sorted(sums) == brute_difference(sizes, k)
+
+
+@pytest.mark.parametrize("n", [3, 9, 40])
+def test_exchange_never_needs_more_than_packing_apart(spark, n):
+    """Parts that exchange bins: no more bins than each part packed by itself, and no fewer than the bound of all pieces."""
+    rng = np.random.default_rng(n)
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh"[int(j) % 8] for j in range(int(m)))) for i, m in enumerate(rng.integers(20, 500, 12 * n))], "doc_id long, text string")
+    rows = packing.pack(docs, limit=512, part=12).collect()
+    lengths = np.array([r.length for r in rows])
+    bins = len({r.sequence_id for r in rows})
+    assert packing.lower_bound(lengths, 512) <= bins
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.part, []).append(r)
+    for part in by.values():
+        own = np.array([r.length for r in part])
+        used = len({r.sequence_id for r in part})
+        assert used - packing.lower_bound(own, 512) <= part[0].gap or part[0].gap == 0
+        assert used <= packing.best_fit(own, 512).max() + 1
