@@ -5,10 +5,12 @@ to parts of about PART pieces, and each part is packed by best-fit decreasing. D
 functions give a lower bound on the part's bins; a part that meets its bound is certified optimal.
 From parts with a gap, all bins that are not nearly full change places as wholes (so pieces of
 different parts meet), and best-fit decreasing runs again; a part keeps the new packing only if
-it needs fewer bins. This repeats until no part has a gap, no bin is saved, or ROUNDS are over.
+it needs fewer bins. This repeats until no part has a gap, or a round saves fewer than 1 in SAVED of the bins it moved.
+Each piece comes with its part's certificate: `part`, and `gap`, by how many bins the part may be over the optimum (0: optimal).
 
-Defined results: a null or empty text is the single end token; repeated rows are packed each;
-an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text is the single end token; repeated rows are packed each; pieces of equal length (ties)
+are placed in the order they came; very long texts are cut into whole pieces, none is dropped; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import in_batches, materialise
+from lectern.llm.textcore import sliced
 from lectern.llm.tokens import default_vocabulary, encoder
 
 LIMIT = 4096
 END_ID = 1
 PART = 16384
-ROUNDS = 3
+SAVED = 10_000
 FULL = 0.995
 
 
@@ -88,7 +91,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
         encode = encoder(vocabulary).encode
         end = np.array([END_ID], dtype="<u4").tobytes()
         rid = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in sliced(batches):
             rows, out = [], []
             for row, ids in enumerate(encode([x or "" for x in batch.column("text").to_pylist()])):
                 ids += end
@@ -103,7 +106,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids_of, *own], ["doc_id", "piece", "start", "length", "ids_crc32", "rid"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rid long")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rid long")
 
 
 def _pack(limit: int, kind: str, full: float):
@@ -132,8 +135,8 @@ def _pack(limit: int, kind: str, full: float):
     return run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rid long, bin long, offset long, loose boolean, gap long"
 
 
-def pack(docs: DataFrame, vocabulary_path: str | None = None, limit: int = LIMIT, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
-    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+def pack(docs: DataFrame, vocabulary_path: str | None = None, limit: int = LIMIT, part: int = PART, saved: int = SAVED) -> DataFrame:
+    """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, part, gap."""
     with open(vocabulary_path or default_vocabulary(), encoding="utf-8") as f:
         vocabulary = f.read()
     kind = dict(docs.dtypes)["doc_id"]
@@ -146,7 +149,9 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, limit: int = LIMIT
         .groupBy("place")
         .applyInArrow(run, schema)
     )
-    for k in range(1, rounds + 1):
+    k = 0
+    while True:
+        k += 1
         n, were = done.where("loose").agg(F.count(F.lit(1)), F.count_distinct("bin")).first()
         if parts == 1 or not n:
             break
@@ -156,9 +161,9 @@ def pack(docs: DataFrame, vocabulary_path: str | None = None, limit: int = LIMIT
         )
         done = materialise(done.where("NOT loose").unionByName(moved.groupBy("place").applyInArrow(run, schema)))
         now = done.where(F.shiftright("bin", 24) >= base).agg(F.count_distinct("bin")).first()[0]
-        if now >= were:
+        if (were - now) * saved < were or k == 1 << 12:
             break
-    return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
+    return done.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset", F.shiftright("bin", 24).alias("part"), "gap")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ number of documents times ``keep_share``, by default the share of good labels.
 
 Defined results: a null or empty text has no n-gram, a log weight of 0 and a score of 0.5; without good
 labels all log weights are 0; rows with equal keys (repeated rows) stay or go together, so more than
-k rows stay where a tie meets the k-th key; an empty table gives an empty result; other columns are
-ignored.
+k rows stay where a tie meets the k-th key; very long texts are counted and weighed whole; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import in_batches, materialise
 from lectern.llm.samples import held_out, per_class
 from lectern.llm.textcore import U, groups, mix, sliced, spans_of
 
@@ -78,7 +78,7 @@ def counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         seen = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0][seen]), pa.array(total[1][seen])], ["place", "raw", "target"])
 
-    rows = docs.select("text", "target").mapInArrow(run, "place int, raw long, target long").groupBy("place").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    rows = in_batches(docs.select("text", "target"), run, "place int, raw long, target long").groupBy("place").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for r in rows.collect():
         raw[r["place"]], target[r["place"]] = r["raw"], r["target"]
@@ -118,7 +118,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             score = 1 / (1 + np.exp(-np.clip(weight / np.sqrt(np.maximum(1, number)), -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(number), pa.array(weight), pa.array(score)], ["doc_id", "n_features", "log_weight", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_features long, log_weight double, score double")
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_features long, log_weight double, score double")
 
 
 def gumbel(seed: int = 0) -> Column:

@@ -19,9 +19,10 @@ import regex
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile(r"[\x21-\x7E¡-¬®-įĲ-ɏ]*")
-CACHE_PIECES = 400_000
+#: Pieces whose ids a worker keeps (about 150 bytes each).
+CACHE_PIECES = 100_000
 SPACE = regex.compile(r"[\x20\x09-\x0D]+")
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 #: Stands for the end of a word; a chunk that has this byte goes to the tokenizer itself.
 END = b"\x01"
 

@@ -17,7 +17,7 @@ def test_stages_take_effect_in_order(spark, sf):
 
 def test_run_packs_what_the_stages_keep(spark, sf):
     rows = corpus_pipeline.run(spark, sf)
-    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "gap"]
     fill: dict = {}
     for r in rows.collect():
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
