@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import html
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import lexicons as L
 from lectern.operators.folds import by_document
 
-YEAR = r"(?:19|20)\d\d[a-z]?"
-_HEADING = re.compile(r"^\s*#*\s*(?:" + "|".join(map(re.escape, L.REFERENCE_HEADINGS)) + r")(?:\s*\(continued\))?\s*:?\s*$", re.I)
-_ENTRY = re.compile(rf"^\s*(?:[-*+]\s+|\d+[.)]?\s+)?(.{{2,80}}?)[,.]?\s*(?:\S+ S\. ?Ct\. \d+ )?\(({YEAR})\)")
-_CLAUSE = re.compile(rf"^(?:(?:see|see also|e\.g\.,?|cf\.)\s+)?(?P<names>[^\d(){{}}%+]+?),\s*(?P<years>{YEAR}(?:,\s*{YEAR})*)(?P<pages>,\s*pp?\.\s*[\d–, -]+)?$", re.S)
+YEAR = r"(?:18|19|20)\d\d[a-z]?"
+_HEADING = re.compile(rf"(?:(?:{'|'.join(L.REFERENCE_ADJECTIVES)})\s+)?(?:{'|'.join(L.REFERENCE_HEADINGS)})(?:\s*\(continued\))?\s*[:.]?", re.I)
+_CLAUSE = re.compile(rf"(?P<names>.+?),\s*(?P<year>{YEAR})(?:\s*[,/&–-]\s*(?:{YEAR}|[a-z]))*(?:\s*[,;:]\s*(?:pp?\.\s*)?\d+(?:\s*[-–]\s*\d+)?)?\.?")
+_DATE = re.compile(rf"(?:{'|'.join(L.DATES_AND_UNITS)})\.?", re.I)
+_NAME = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
+_SEVERAL = re.compile(r",|&|\band\b|\bet\s+al\b")
 _MARK = re.compile(r"^\s*(?:\d{1,3}|[ivxIVX]{1,5})[.)]?\s+(?=\S)")
 _NOTE = re.compile(r"\bNotes?:\s*(.+)$", re.S)
 _SOURCE = re.compile(r"^\s*[·•*-]?\s*Sources?\s*(?::|$)", re.I)
@@ -29,68 +32,61 @@ _ABBREVIATED = re.compile(r"(?:\b(?:[A-Z]|Inc|Corp|Co|Ltd|Mr|Ms|Dr|St|No|vol|pp?
 
 def author_key(name: str) -> str:
     """SF33."""
-    return re.sub(r"[\W_]", "", name).casefold()
+    return re.sub(r"\W", "", name).casefold()
+
+
+def reference_heading(text: str) -> bool:
+    return bool(_HEADING.fullmatch(text.strip()))
 
 
 def bibliography(text: str) -> set[tuple[str, str]]:
-    """AG9: (author key, year) of entries under reference headings only."""
+    """AG9: (author key, year) of the entries under reference headings only: what stands before the first comma, and the first year."""
     found: set[tuple[str, str]] = set()
     inside = False
-    for line in text.splitlines():
-        if _HEADING.match(line):
-            inside = True
-        elif re.match(r"\s*#", line):
-            inside = False
-        elif inside and (m := _ENTRY.match(line)):
-            whole = author_key(re.sub(rf",?\s*\d+ S\. ?Ct\..*$", "", m[1]))
-            found |= {(whole, m[2]), (author_key(re.split(r",| & | and ", m[1])[0]), m[2])}
-            if re.search(r"\bv\.", m[1]):
-                found.add((author_key(re.split(r",\s*\d", m[1])[0]), m[2]))
+    for line in html.unescape(text).splitlines():
+        if head := re.match(r"\s*#{1,6}\s+(.+)", line):
+            inside = reference_heading(head[1])
+        elif inside and (year := re.search(rf"\b{YEAR}\b", entry := re.sub(r"^\s*(?:[-*+]\s+|\d+[.)]\s+)", "", line).lstrip("["))):
+            found.add((author_key(entry[: year.start()].partition(",")[0].rstrip(" .(")), year[0]))
     return found
 
 
 def author_year(clause: str, sources: set[tuple[str, str]]) -> bool:
     """FL17: whether a clause is nothing but authors and years. One name alone needs an entry of the bibliography."""
-    m = _CLAUSE.match(" ".join(clause.split()))
+    m = _CLAUSE.fullmatch(" ".join(clause.split()))
     if not m:
         return False
-    names = m["names"].strip()
-    if names.lower() in L.NO_AUTHORS or any(x in L.MONTHS for x in names.lower().split()):
+    names = re.sub(r"^(?:see(?: also)?|cf\.|e\.g\.,)\s+", "", m["names"], flags=re.I)
+    words = _NAME.findall(names)
+    if _DATE.fullmatch(names) or not words or _NAME.sub("", names).strip(" .,\t&"):
         return False
-    bare = [w for w in re.findall(r"[^\W\d_][\w'’.-]*", names) if w.lower().rstrip(".") not in L.CONNECTORS]
-    if not bare or not all(w[0].isupper() for w in bare):
+    if not all(w[0].isupper() or w in L.CONNECTORS for w in words) or not any(w[0].isupper() for w in words):
         return False
-    if re.search(r"\bet al\b|&| and ", names):
-        return True
-    return any((author_key(names), y) in sources for y in re.findall(YEAR, m["years"]))
+    return bool(_SEVERAL.search(names)) or (author_key(_SEVERAL.split(names, maxsplit=1)[0]), m["year"]) in sources
 
 
 def strip_citations(text: str | None, sources: set[tuple[str, str]] = frozenset()) -> tuple[str | None, int]:
-    """SF34: (text without parenthetical author-year citations, how many clauses went)."""
+    """SF34: (text without parenthetical author-year citations, how many clauses went). Spaces are settled only where some went."""
     if not text or "(" not in text:
         return text, 0
-    removed = 0
     out: list[str] = []
-    at = 0
-    for m in re.finditer(r"[ \t]*\(([^()]*)\)([-–—])?", text):
+    removed = at = 0
+    for m in re.finditer(r"\(([^()]*)\)([ \t]*[-–—])?", text):
         clauses = m[1].split(";")
-        kept = [c for c in clauses if not author_year(c, sources)]
+        kept = [c.strip() for c in clauses if not author_year(c, sources)]
         if len(kept) == len(clauses):
             continue
         removed += len(clauses) - len(kept)
-        out.append(text[at : m.start()])
-        lead = re.match(r"[ \t]*", m[0])[0]
-        if kept:
-            out.append(lead + "(" + ";".join(kept).strip() + ")" + (" - " if m[2] else ""))
-        elif m[2]:
-            out.append(" - ")
-        elif text[m.end() : m.end() + 1].isalnum():
-            out.append(" ")
+        touching = text[max(0, m.start() - 1) : m.start()].isalnum() and text[m.end() : m.end() + 1].isalnum()
+        left = f"({'; '.join(kept)}){m[2] or ''}" if kept else " - " if m[2] else " " if touching else ""
+        out += [text[at : m.start()], left]
         at = m.end()
     if not removed:
         return text, 0
-    out.append(text[at:])
-    return re.sub(r"[ \t]{2,}", " ", "".join(out)), removed
+    joined = "".join([*out, text[at:]])
+    for pattern, to in ((r"[ \t]+", " "), (r" +([,.;:!?)])", r"\1"), (r" *\n *", "\n")):
+        joined = re.sub(pattern, to, joined)
+    return joined.lstrip(" \t"), removed
 
 
 def strip_parenthetical(docs: DataFrame, text: str = "text", reference: str | None = None) -> DataFrame:
@@ -101,32 +97,22 @@ def strip_parenthetical(docs: DataFrame, text: str = "text", reference: str | No
         got = [strip_citations(t, bibliography(r or "")) if t is not None else (None, 0) for t, r in zip(texts, refs, strict=True)]
         return pd.DataFrame(got, columns=["text", "n"])
 
-    got = run(F.col(text), F.col(reference or text))
-    return docs.withColumn("__c", got).withColumn(text, F.col("__c.text")).withColumn("n_citations", F.col("__c.n")).drop("__c")
+    # Only a text with a year in parentheses goes to Python, with its bibliography only if it has a heading.
+    some = F.coalesce(F.col(text).rlike(rf"(?s)\([^()]*{YEAR}[^()]*\)"), F.lit(False))
+    ref = F.col(reference or text)
+    got = run(F.when(some, F.col(text)), F.when(some & ref.rlike(r"(?m)^\s*#"), ref))
+    return docs.withColumn("__c", got).withColumn(text, F.when(some, F.col("__c.text")).otherwise(F.col(text))).withColumn("n_citations", F.col("__c.n")).drop("__c")
 
 
 def evidence(docs: DataFrame, text: str = "text") -> DataFrame:
-    """AG9 as rows: doc_id, author, year of entries of the form ``- Name, X. (year).`` under reference headings (native)."""
-    heads = r"(?i)^\s*#*\s*(?:" + "|".join(L.REFERENCE_HEADINGS) + r")\s*:?\s*$"
-    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
-    order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    head = F.col("line").rlike(heads)
-    scope = F.last(F.when(head, F.lit(True)).when(F.col("line").rlike(r"^\s*#"), F.lit(False)), ignorenulls=True).over(order)
-    rows = rows.withColumn("__in", scope).where("__in").where(~head)
-    author = F.regexp_extract("line", rf"^\s*(?:[-*+]\s+)?([^,.(\n]{{2,80}})[,.][^()\n]*\({YEAR}\)", 1)
-    return rows.select("doc_id", F.lower(F.regexp_replace(author, r"(?U)[\W_]", "")).alias("author"), F.regexp_extract("line", rf"\(({YEAR})\)", 1).alias("year")).where("author <> '' AND year <> ''").distinct()
+    """AG9 as rows: doc_id, author, year of the bibliography of each text."""
 
+    @F.pandas_udf("array<struct<author:string, year:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"author": a, "year": y} for a, y in sorted(bibliography(t or ""))])
 
-def single_author_citations(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Clauses ``(Name, year)`` of a text as rows: doc_id, author, year (native)."""
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\((\p{{Lu}}[\p{{L}}'’-]+, {YEAR})\)"), F.lit(1))
-    rows = docs.select("doc_id", F.explode(found).alias("c"))
-    return rows.select("doc_id", F.lower(F.regexp_replace(F.regexp_extract("c", r"^([^,]+),", 1), r"(?U)[\W_]", "")).alias("author"), F.regexp_extract("c", YEAR + "$", 0).alias("year"))
-
-
-def proven(citations: DataFrame, sources: DataFrame) -> DataFrame:
-    """JN4: citations that the bibliography of their document proves (a semi join)."""
-    return citations.join(sources, ["doc_id", "author", "year"], "left_semi")
+    headed = docs.where(F.col(text).rlike(r"(?m)^\s*#"))  # without a heading there is no bibliography
+    return headed.select("doc_id", F.explode(run(F.col(text))).alias("e")).select("doc_id", "e.*")
 
 
 def sentences(text: str) -> list[str]:
@@ -205,9 +191,8 @@ def filter_document(rows: list[dict]) -> tuple[list[dict], int, int]:
         text = b["text"] or ""
         if b["label"] == "section_header":
             after_source = False
-            name = re.sub(r"\s*\(continued\)\s*$", "", text.strip().rstrip(":"), flags=re.I).lower()
-            starts = name in L.REFERENCE_HEADINGS
-            if name == "notes":
+            starts = reference_heading(text)
+            if text.strip().rstrip(":.").lower() == "notes":
                 ahead = [x for x in rows[i + 1 : i + 4] if x["label"] != "section_header"]
                 starts = sum(citation_only(x["text"] or "") for x in ahead) >= 2
             scope = starts
@@ -262,24 +247,3 @@ def filter_citation_blocks(ordered: DataFrame) -> DataFrame:
         return [r | {"seq": i, "omitted": omitted, "explanations": kept} for i, r in enumerate(made)]
 
     return by_document(ordered.select(*names), fold, ordered.select(*names, F.lit(0).alias("omitted"), F.lit(0).alias("explanations")))
-
-
-def reference_scope(blocks: DataFrame) -> DataFrame:
-    """WN3 as a window: blocks with in_references, true from a reference heading to the next other heading."""
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.lower(F.regexp_replace(F.trim("text"), r"(?i)\s*\(continued\)\s*$|:$", ""))
-    head = F.when(F.col("label") == "section_header", name.isin(*L.REFERENCE_HEADINGS))
-    return blocks.withColumn("in_references", F.coalesce(F.last(head, ignorenulls=True).over(order), F.lit(False)))
-
-
-def looks_cited() -> Column:
-    """A native stand-in for FL16 on short notes: a quoted title and a year at the end."""
-    return F.col("text").rlike(rf"^\s*\d{{1,3}} .*\".+\".*{YEAR}\.?\s*$")
-
-
-def notes_lookahead(blocks: DataFrame) -> DataFrame:
-    """WN4 as a window: headings ``Notes`` with cites_ahead, the citation-like ones of the three blocks behind."""
-    body = blocks.withColumn("__hit", F.when(F.col("label") != "section_header", looks_cited().cast("int")).otherwise(0))
-    order = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(1, 3)
-    ahead = F.coalesce(F.sum("__hit").over(order), F.lit(0))
-    return body.withColumn("cites_ahead", ahead.cast("long")).where((F.col("label") == "section_header") & (F.lower(F.trim("text")) == "notes")).drop("__hit")

@@ -226,17 +226,3 @@ def repair_blocks(blocks: DataFrame, refs: DataFrame, markers: DataFrame, joins:
         *[F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in schemas.BLOCKS.fieldNames()],
         F.col("__r.markers").alias("removed_markers"), F.col("__r.words").alias("joined_words"), F.col("__r.numbers").alias("restored_numbers"), F.col("__r.forms").alias("restored_forms"),
     )
-
-
-def page_amounts(pages: DataFrame) -> DataFrame:
-    """AG10 as rows (native): doc_id, page, sign, scale, whole, values."""
-    pattern = r"[$€£¥]\d[\d,]*\.\d+ (?:thousand|million|billion|trillion)"
-    rows = pages.select("doc_id", "page", F.explode(F.regexp_extract_all("page_text", F.lit(pattern), F.lit(0))).alias("a"))
-    rows = rows.select("doc_id", "page", F.substring("a", 1, 1).alias("sign"), F.substring_index("a", " ", -1).alias("scale"), F.regexp_extract("a", r"^.([\d,]+)\.", 1).alias("whole"), F.regexp_extract("a", r"^.([\d,]+\.\d+)", 1).alias("value"))
-    return rows.groupBy("doc_id", "page", "sign", "scale", "whole").agg(F.array_sort(F.collect_set("value")).alias("values"))
-
-
-def form_rows(pages: DataFrame) -> DataFrame:
-    """SF42 as rows (native, hyphened forms only): doc_id, page, form."""
-    found = F.array_distinct(F.regexp_extract_all("page_text", F.lit(r"(?U)(?<![\w-])\w+(?:-\w+)+(?![-\w])"), F.lit(0)))
-    return pages.select("doc_id", "page", F.explode(found).alias("form"))

@@ -1,129 +1,130 @@
-"""Line stage of cleaning (FL7-FL12, WN2, WN5, SF3-SF8) on arrays of lines, with no shuffle.
+"""Line stage of cleaning (FL7-FL12, WN2, WN5, SF3-SF8) on whole texts, with no shuffle.
 
-Lines of a document stay in one array, so the windows over them (fence parity, repeats) are
-higher-order functions of the row. `exploded` gives the same lines as rows for other uses.
+A pass over lines is one regular expression in multi-line mode over the text, so that it stays a plain column expression;
+only what compares lines with each other (repeats of the introduction) or reads table rows takes a text apart,
+and only in texts that have such lines. `exploded` gives lines as rows for other uses.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import lexicons as L
 from lectern.functions import text as X
 
-PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d{1,3}\s*$"
-PAGE_FOOTER = r"(?i)^\s*(?:#+\s*)?page\s+\d+\s*\|\s*\S"
-SOURCE_LINE = r"(?i)^\s*[·•*-]?\s*sources?\s*:"
-FENCE = r"^\s*(?:```|~~~)"
-TABLE_DIVIDER = r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$"
-TABLE_ROW = r"^\s*\|.*\|\s*$"
+# Lines that say nothing aloud, as whole lines without white space around them, in any case.
+PAGE_NUMBER = r"(?:page\s+)?\d{1,3}$"
+PAGE_FOOTER = r"(?:#{1,6}\s+)?page\s+\d+\s*\|\s*\S"
+SOURCE_LINE = r"(?:[·•▪◦]\s*)?sources?\s*:\s*\S"
+TABLE_DIVIDER = r"\|?(?:\s*:?-{3,}:?\s*\|)+$"
+TABLE_ROW = r"\|[^\n]*\|$"
+FENCE = "```"
 INTRO_CHARS = 180
-#: A line that must keep its own line when lines are joined (SF8) is flagged, not marked in its text.
 MODES = ("smart", "skip", "linearize")
+#: Stands at the end of a line that must stay apart when lines are joined (SF8); no line has it after SF3.
+HARD = "\u000b"
+
+
+def exploded(docs: DataFrame, text: str = "text") -> DataFrame:
+    """A row per line: doc_id, pos, line."""
+    return docs.select("doc_id", F.posexplode(X.lines_of(F.coalesce(F.col(text), F.lit("")))).alias("pos", "line"))
+
+
+def tidy_lines(text: Column) -> Column:
+    """SF3: every line boundary is a newline, and lines have no white space around them."""
+    one = X.guarded(text, lambda x: x.rlike(r"[\u000b\f\r\u001c-\u001e\u0085\u2028\u2029]"), lambda x: X.sub(x, r"\r\n|[\u000b\f\r\u001c-\u001e\u0085\u2028\u2029]", "\n"))
+    return X.strip_ends(X.sub(one, r"(?U)[^\S\n]*\n[^\S\n]*", "\n"))
+
+
+def spoken_urls(text: Column) -> Column:
+    """SF4 on every line of a text that has a URL."""
+    return X.guarded(text, lambda x: x.rlike(r"(?i)https?://|www\."), lambda x: F.array_join(F.transform(F.split(x, "\n", -1), lambda y: F.when(y.rlike(r"(?i)https?://|www\."), X.speak_urls(y)).otherwise(y)), "\n"))
+
+
+def without_fences(text: Column) -> Column:
+    """FL11, WN2: fences and what is between them go; an open one takes all that follows."""
+    return X.guarded(text, lambda x: F.contains(x, F.lit(FENCE)), lambda x: X.sub(x, rf"(?ms)^{FENCE}(?:[^\n]*\n.*?^{FENCE}[^\n]*(?:\n|\z)|.*\z)", ""))
 
 
 def drop_pattern(extra: tuple[str, ...] = ()) -> str:
-    """FL7: one alternation of the built-in and the user's patterns."""
+    """FL7-FL10: one expression that takes whole lines with their newline. Extra patterns may match anywhere in a line."""
     for p in extra:
         re.compile(p)
-    return "(?i)(?:" + "|".join(f"(?:{p})" for p in (*L.DROP_LINES, *extra)) + ")"
+    inside = [p.replace(r"\s", r"[^\S\n]") for p in (PAGE_NUMBER, PAGE_FOOTER, SOURCE_LINE, *L.DROP_LINES)]
+    anywhere = [rf"(?=[^\n]*?(?:{p}))" for p in extra]
+    return "(?im)^(?:" + "|".join(inside + anywhere) + r")[^\n]*(?:\n|\z)"
 
 
-def exploded(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row per line: doc_id, pos, line."""
-    return docs.select("doc_id", F.posexplode(X.lines_of(F.coalesce(F.col(text), F.lit("")))).alias("pos", "line"))
+def without_dropped(text: Column, drop: str | None = None) -> Column:
+    """FL7-FL10 on tidy lines."""
+    return X.sub(text, drop or drop_pattern(), "")
+
+
+def table_lines(text: Column, mode: str = "smart") -> Column:
+    """FL12, SF7 on tidy lines: dividers go; rows go too, or are read as clauses and stay apart."""
+    divider, row = TABLE_DIVIDER.replace(r"\s", r"[^\S\n]"), TABLE_ROW
+
+    def body(x):
+        if mode != "linearize":
+            return X.sub(x, rf"(?m)^(?:{divider}|{row})(?:\n|\z)", "")
+        read = F.transform(F.split(X.sub(x, rf"(?m)^{divider}(?:\n|\z)", ""), "\n", -1), lambda y: F.when(y.rlike("^" + row), F.concat(X.table_row(y), F.lit(HARD))).otherwise(y))
+        return F.array_join(read, "\n")
+
+    return X.guarded(text, lambda x: x.rlike(r"(?m)^\||\|$"), body)
 
 
-def outside_fences(lines: DataFrame) -> DataFrame:
-    """FL11 and WN2 on line rows: fence lines and what is between them go."""
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    fences = F.count_if(F.col("line").rlike(FENCE)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("__f", fences).where((F.col("__f") % 2 == 0) & ~F.col("line").rlike(FENCE)).drop("__f")
+def without_marks(text: Column) -> Column:
+    """SF5, SF6 on tidy lines: headings, bullets, list markers, emphasis."""
+    return X.strip_emphasis(X.chain(text, *[("(?m)" + p.replace(r"\s", r"[^\S\n]"), "") for p in X.MARKERS]))
 
 
-def dedupe_intro(lines: DataFrame) -> DataFrame:
-    """WN5 on line rows: a line that repeats one of the introduction goes.
+def intro_once(text: Column) -> Column:
+    """WN5: a line that repeats one of the introduction goes.
 
     The introduction ends with the first line of more than INTRO_CHARS characters; without one it is the
     whole document. Lines are compared with white space and case folded; blank lines stay.
     """
-    key = F.lower(X.fold_space(F.col("line")))
-    doc = Window.partitionBy("doc_id")
-    rows = lines.withColumn("__key", key).withColumn("__end", F.min(F.when(F.length(F.trim("line")) > INTRO_CHARS, F.col("pos"))).over(doc))
-    same = Window.partitionBy("doc_id", "__key").orderBy("pos")
-    rows = rows.withColumn("__n", F.row_number().over(same)).withColumn("__first", F.min("pos").over(same))
-    intro = F.col("__end").isNull() | (F.col("__first") <= F.col("__end"))
-    return rows.where((F.col("__key") == "") | (F.col("__n") == 1) | ~intro).drop("__key", "__end", "__n", "__first")
-
-
-def _fenced(lines: Column) -> Column:
-    """FL11 on an array: lines outside fences."""
-    seed = F.struct(F.lit(0).alias("n"), F.expr("cast(array() AS array<string>)").alias("out"))
-
-    def step(a, x):
-        fence = x.rlike(FENCE)
-        n = a["n"] + fence.cast("int")
-        return F.struct(n.alias("n"), F.when(fence | (n % 2 == 1), a["out"]).otherwise(F.array_append(a["out"], x)).alias("out"))
-
-    plain = ~F.exists(lines, lambda x: x.rlike(FENCE))
-    return F.when(plain, lines).otherwise(F.aggregate(lines, seed, step, lambda a: a["out"]))
-
-
-def _spoken(line: Column, mode: str, drop: str) -> Column:
-    """One line: struct(text, hard); a null text is dropped."""
-    bare = X.strip_heading(line)
-    gone = line.rlike(PAGE_NUMBER) | bare.rlike(PAGE_FOOTER) | line.rlike(SOURCE_LINE) | line.rlike(drop) | line.rlike(TABLE_DIVIDER)
-    row = line.rlike(TABLE_ROW)
-    text = X.strip_markers(X.strip_emphasis(X.strip_markup(X.speak_urls(line))))
-    if mode == "linearize":
-        text, hard = F.when(row, X.table_row(line)).otherwise(text), row
-    else:
-        gone, hard = gone | row, F.lit(False)
-    return F.struct(F.when(~gone, F.trim(text)).alias("text"), hard.alias("hard"))
-
-
-def _intro_once(lines: Column) -> Column:
-    """WN5 on an array of struct(text, hard)."""
-    # `seen` holds the keys of the introduction; it is open until the first long line has been remembered.
-    seed = F.struct(F.expr("cast(array() AS array<string>)").alias("seen"), F.lit(True).alias("open"), F.expr("cast(array() AS array<struct<text:string,hard:boolean>>)").alias("out"))
-
-    def step(a, x):
-        key = F.lower(X.fold_space(x["text"]))
-        again = (key != "") & F.array_contains(a["seen"], key)
-        learn = a["open"] & (key != "") & ~again
-        return F.struct(
-            F.when(learn, F.array_append(a["seen"], key)).otherwise(a["seen"]).alias("seen"),
-            (a["open"] & (F.length(x["text"]) <= INTRO_CHARS)).alias("open"),
-            F.when(again, a["out"]).otherwise(F.array_append(a["out"], x)).alias("out"),
-        )
-
-    return F.aggregate(lines, seed, step, lambda a: a["out"])
+
+    def key(line):
+        return F.lower(X.fold_space(line))
+
+    def body(lines):
+        def filtered(keys):
+            # 1 behind the introduction's last line, or behind all.
+            end = F.array_position(F.transform(lines, lambda x: F.length(x) > INTRO_CHARS), True)
+            end = F.when(end > 0, end).otherwise(F.size(lines)).cast("int")
+
+            def kept(intro):
+                at = F.transform(keys, lambda k: F.array_position(intro, k))
+                return F.filter(lines, lambda x, i: (F.get(keys, i) == "") | (F.get(at, i) == 0) | (F.get(at, i) == i + 1))
+
+            return F.element_at(F.transform(F.array(F.slice(keys, 1, end)), kept), 1)
+
+        keys = F.filter(F.transform(lines, key), lambda k: k != "")
+        again = F.size(F.array_distinct(keys)) < F.size(keys)
+        return F.when(again, F.element_at(F.transform(F.array(F.transform(lines, key)), filtered), 1)).otherwise(lines)
+
+    split = F.split(text, "\n", -1)
+    return F.array_join(F.element_at(F.transform(F.array(split), body), 1), "\n")
 
 
 def clean_markdown(docs: DataFrame, text: str = "text", out: str = "narration", table_mode: str = "smart", drop_patterns: tuple[str, ...] = ()) -> DataFrame:
     """CP1: docs with a cleaned narration. Null stays null.
 
-    table_mode: ``smart`` and ``skip`` leave table rows out, ``linearize`` reads them. Each step is a column
-    of its own, so no expression is evaluated twice.
+    table_mode: ``smart`` and ``skip`` leave table rows out, ``linearize`` reads them. Other columns, whatever their names, are carried.
     """
     if table_mode not in MODES:
         raise ValueError(f"table_mode is one of {', '.join(MODES)}")
     drop = drop_pattern(drop_patterns)
-    df = docs.withColumn("__raw", X.strip_notices(_wrapped_notices(X.newlines(F.col(text)))))
-    df = df.withColumn("__lines", _fenced(X.lines_of(X.decode_entities(F.col("__raw")))))
-    df = df.withColumn("__lines", F.filter(F.transform("__lines", lambda x: _spoken(x, table_mode, drop)), lambda x: x["text"].isNotNull()))
-    df = df.withColumn("__lines", _intro_once(F.col("__lines")))
-    # Lines that must stay apart end in a vertical tab, which no line has after SF3.
-    joined = F.array_join(F.transform("__lines", lambda x: F.concat(x["text"], F.when(x["hard"], F.lit("\u000b")).otherwise(F.lit("")))), "\n")
-    df = df.withColumn("__t", X.join_lines(joined)).withColumn("__t", X.sub(F.col("__t"), r" ?\u000b ?", "\n"))
-    for step in (X.repair_words, X.repair_hyphens, X.repair_spacing, X.repair_amounts, X.clean_bylines, X.strip_contacts, X.strip_notices, X.join_sections, X.end_with_newline):
-        df = df.withColumn("__t", step(F.col("__t")))
-    return df.withColumn(out, F.col("__t")).drop("__raw", "__lines", "__t")
-
-
-def _wrapped_notices(c: Column) -> Column:
-    """A notice that is wrapped over lines of one paragraph is one line before it is looked for."""
-    return X.guarded(c, lambda x: x.rlike(r"(?i)©|\(c\)|copyright|permission"), lambda x: X.sub(x, r"(?m)(?<=\S)[ \t]*\n(?=[^\n#|>`~\s-])", " "))
+    steps = (
+        X.newlines, X.decode_entities, X.strip_markup, X.strip_notices, tidy_lines, spoken_urls, without_fences, lambda c: without_dropped(c, drop), lambda c: table_lines(c, table_mode),
+        without_marks, intro_once, X.join_lines, lambda c: X.guarded(c, lambda x: F.contains(x, F.lit(HARD)), lambda x: X.sub(x, rf" ?{HARD}\s*", "\n")),
+        X.repair_words, X.repair_hyphens, X.repair_spacing, X.repair_amounts, X.clean_bylines, X.strip_contacts, X.join_sections, X.end_with_newline,
+    )
+    value = F.col(text)
+    for step in steps:
+        value = step(value)
+    return docs.withColumn(out, value)

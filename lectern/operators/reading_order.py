@@ -91,31 +91,32 @@ def _split_page(blocks: list[Block]) -> tuple[list[Block], list[Block]]:
     return main, side
 
 
-def _unfinished(text: str) -> bool:
-    return bool(re.search(r"[\w,'’\-–—]$", text.rstrip()))
+_ENDED = re.compile(r"[.!?][\"')\]]?\s*$")
+_OPEN_WORD = re.compile(r"\b(?:" + "|".join(L.DANGLING) + r")\s*$", re.I)
 
 
 def _joins(a: Block, b: Block) -> bool:
-    if a.label not in ("text", "list_item") or b.label != "text" or not _unfinished(a.text):
+    """Text goes on in a small letter, or, over a page's end, behind a word that nothing ends in."""
+    if a.label not in ("text", "list_item") or b.label != "text" or _ENDED.search(a.text):
         return False
-    if b.text[:1].islower():
-        return b.page - a.page in (0, 1)
-    return b.page == a.page + 1 and a.text.split()[-1].lower() in L.DANGLING
+    small = "a" <= b.text.lstrip()[:1] <= "z"
+    return small or (b.page > a.page and bool(_OPEN_WORD.search(a.text)))
 
 
 def merge_continuations(blocks: list[Block]) -> list[Block]:
-    """WN10: unfinished text goes on in the next text, past footnotes and "(continued)" headings."""
+    """WN10: unfinished text goes on in the next text, past "(continued)" headings and, on a later page, past footnotes."""
     out: list[Block] = []
     for b in blocks:
         if b.label == "section_header" and re.search(r"\(continued\)\s*$", b.text, re.I):
             continue
         at = len(out) - 1
-        while at >= 0 and out[at].label == "footnote":
-            at -= 1
-        if at >= 0 and _joins(out[at], b) and (at == len(out) - 1 or b.page > out[at].page):
-            glue = "" if out[at].text.rstrip().endswith("-") else " "
-            # The page moves on, so that a third page can follow the second.
-            out[at] = replace(out[at], text=out[at].text.rstrip() + glue + b.text.lstrip(), page=b.page)
+        if at >= 0 and not _joins(out[at], b):
+            while at >= 0 and out[at].label == "footnote":
+                at -= 1
+            past = at < len(out) - 1 and at >= 0 and "a" <= b.text.lstrip()[:1] <= "z" and b.page > out[at].page and _joins(out[at], b)
+            at = at if past else -1
+        if at >= 0:
+            out[at] = replace(out[at], text=f"{out[at].text.rstrip()} {b.text.lstrip()}")
         else:
             out.append(b)
     return out

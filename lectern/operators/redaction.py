@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +27,33 @@ def scrub(text: Column, hidden: Column) -> Column:
     return F.when(F.size(hidden) > 0, done).otherwise(text)
 
 
-def scrub_json(json: Column, hidden: Column) -> Column:
-    """SF37: string values of a JSON text, at any depth, scrubbed. Keys keep their names; the text form is scrubbed at once."""
-    return scrub(json, hidden)
+def scrub_json(json_text: Column, hidden: Column) -> Column:
+    """SF37: every string value of a JSON text, at any depth, scrubbed; names, numbers and the shape stay. Text that is no JSON is scrubbed as text."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, hiding: pd.Series) -> pd.Series:
+        return pd.Series([_scrubbed(t, h) for t, h in zip(texts, hiding, strict=True)], dtype=object)
+
+    return run(json_text, hidden)
+
+
+def _scrubbed(text: str | None, hidden) -> str | None:
+    words = sorted({h.strip() for h in (hidden if hidden is not None else []) if h and h.strip()}, key=lambda h: (-len(h), h))
+    if text is None or not words:
+        return text
+    pattern = re.compile("|".join(r"\s+".join(map(re.escape, h.split())) for h in words), re.I)
+
+    def walk(v):
+        if isinstance(v, str):
+            return pattern.sub(PLACEHOLDER, v)
+        if isinstance(v, list):
+            return [walk(x) for x in v]
+        return {k: walk(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    try:
+        return json.dumps(walk(json.loads(text)), ensure_ascii=False)
+    except ValueError:
+        return pattern.sub(PLACEHOLDER, text)
 
 
 def leaks(text: Column, hidden: Column) -> Column:

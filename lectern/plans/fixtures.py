@@ -30,15 +30,20 @@ def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).withColumn("text", F.expr(DECORATE))
 
 
-def appended(spark: SparkSession, sf_dir: str, sentences: tuple[str, ...]) -> DataFrame:
-    """documents, with one of the sentences as a last line, by doc_id."""
+def appended(spark: SparkSession, sf_dir: str, sentences: tuple[str, ...], glue: str = "\n") -> DataFrame:
+    """documents, with one of the sentences behind glue, by doc_id."""
     some = F.array(*[F.lit(s) for s in sentences])
-    return documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), F.get(some, F.pmod(F.col("doc_id"), F.lit(len(sentences))).cast("int"))))
+    return documents(spark, sf_dir).withColumn("text", F.concat("text", F.lit(glue), F.get(some, F.pmod(F.col("doc_id"), F.lit(len(sentences))).cast("int"))))
 
 
-def appended_sql(sentences: tuple[str, ...], column: str = "text") -> str:
-    quoted = ", ".join("'" + s.replace("'", "''") + "'" for s in sentences)
-    return f"concat(text, chr(10), [{quoted}][doc_id % {len(sentences)} + 1]) AS {column}"
+def quoted(sentence: str | None) -> str:
+    return "NULL" if sentence is None else "'" + sentence.replace("'", "''") + "'"
+
+
+def appended_sql(sentences: tuple[str | None, ...], column: str = "text", glue: int = 1) -> str:
+    """The same in SQL; of a null sentence nothing is left, its newlines (glue) neither."""
+    some = ", ".join(map(quoted, sentences))
+    return f"concat_ws(repeat(chr(10), {glue}), text, [{some}][doc_id % {len(sentences)} + 1]) AS {column}"
 
 
 def rtf_of(text: str) -> bytes:

@@ -33,7 +33,7 @@ def test_clean_markdown(spark):
 def test_tables_can_be_read_and_patterns_added(spark):
     df = spark.createDataFrame([(1, "| a | b |\n| --- | --- |\n| 1 | 2 |\n\nSECRET COPY\n\nEnd.")], "doc_id long, text string")
     got = lines.clean_markdown(df, table_mode="linearize", drop_patterns=("^secret copy$",)).first().narration
-    assert got == "a; b\n1; 2\n\nEnd.\n"
+    assert got == "a; b\n1; 2\nEnd.\n"
     with pytest.raises(ValueError, match="table_mode"):
         lines.clean_markdown(df, table_mode="all")
 
