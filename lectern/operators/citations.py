@@ -6,8 +6,10 @@ import html
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern import schemas
 from lectern.functions import lexicons as L
@@ -18,6 +20,7 @@ _HEADING = re.compile(rf"(?:(?:{'|'.join(L.REFERENCE_ADJECTIVES)})\s+)?(?:{'|'.j
 _CLAUSE = re.compile(rf"(?P<names>.+?),\s*(?P<year>{YEAR})(?:\s*[,/&–-]\s*(?:{YEAR}|[a-z]))*(?:\s*[,;:]\s*(?:pp?\.\s*)?\d+(?:\s*[-–]\s*\d+)?)?\.?")
 _DATE = re.compile(rf"(?:{'|'.join(L.DATES_AND_UNITS)})\.?", re.I)
 _NAME = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
+_PARENTHESES = re.compile(rf"\([^()]*{YEAR}[^()]*\)")
 _SEVERAL = re.compile(r",|&|\band\b|\bet\s+al\b")
 _MARK = re.compile(r"^\s*(?:\d{1,3}|[ivxIVX]{1,5})[.)]?\s+(?=\S)")
 _NOTE = re.compile(r"\bNotes?:\s*(.+)$", re.S)
@@ -92,16 +95,18 @@ def strip_citations(text: str | None, sources: set[tuple[str, str]] = frozenset(
 def strip_parenthetical(docs: DataFrame, text: str = "text", reference: str | None = None) -> DataFrame:
     """docs with `text` stripped and n_citations. reference: the column with the bibliography (default: the text itself)."""
 
-    @F.pandas_udf("struct<text:string, n:long>")
-    def run(texts: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        got = [strip_citations(t, bibliography(r or "")) if t is not None else (None, 0) for t, r in zip(texts, refs, strict=True)]
-        return pd.DataFrame(got, columns=["text", "n"])
+    fields = [f for f in docs.schema.fields if f.name != "n_citations"]
+    names, schema = [f.name for f in fields], T.StructType([*fields, T.StructField("n_citations", T.LongType())])
 
-    # Only a text with a year in parentheses goes to Python, with its bibliography only if it has a heading.
-    some = F.coalesce(F.col(text).rlike(rf"(?s)\([^()]*{YEAR}[^()]*\)"), F.lit(False))
-    ref = F.col(reference or text)
-    got = run(F.when(some, F.col(text)), F.when(some & ref.rlike(r"(?m)^\s*#"), ref))
-    return docs.withColumn("__c", got).withColumn(text, F.when(some, F.col("__c.text")).otherwise(F.col(text))).withColumn("n_citations", F.col("__c.n")).drop("__c")
+    def run(batches):
+        for batch in batches:
+            texts, refs = batch.column(text).to_pylist(), batch.column(reference or text).to_pylist()
+            # Only a text with a year in parentheses needs its bibliography.
+            got = [strip_citations(t, bibliography(r) if r and "#" in r else set()) if t and _PARENTHESES.search(t) else (t, 0) for t, r in zip(texts, refs, strict=True)]
+            columns = [pa.array([t for t, _ in got], pa.string()) if n == text else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in got], pa.int64())], [*names, "n_citations"])
+
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def evidence(docs: DataFrame, text: str = "text") -> DataFrame:

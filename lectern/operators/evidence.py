@@ -221,7 +221,7 @@ def repair_blocks(blocks: DataFrame, refs: DataFrame, markers: DataFrame, joins:
             out.append((t, m, a + b, n, f))
         return pd.DataFrame(out, columns=["text", "markers", "words", "numbers", "forms"])
 
-    df = df.withColumn("__r", run("text", "__refs", "__joins", "page_text"))
+    df = df.withColumn("__r", run.asNondeterministic()("text", "__refs", "__joins", "page_text"))
     return df.select(
         *[F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in schemas.BLOCKS.fieldNames()],
         F.col("__r.markers").alias("removed_markers"), F.col("__r.words").alias("joined_words"), F.col("__r.numbers").alias("restored_numbers"), F.col("__r.forms").alias("restored_forms"),

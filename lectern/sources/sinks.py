@@ -6,6 +6,7 @@ import hashlib
 import os
 import threading
 import time
+import uuid
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -95,23 +96,39 @@ class SpeechClient(Protocol):
 
     def size(self, uri: str) -> int: ...
 
-    def delete(self, uri: str) -> None: ...
+    def version(self, uri: str) -> str: ...
+
+    def copy(self, uri: str, key: str) -> str: ...
+
+    def delete(self, uri: str, version: str) -> None: ...
 
 
 class Pacer:
-    """OR2: least seconds between starts and between status calls, each under its own lock."""
+    """OR2: least seconds between starts and between status calls, each under its own lock.
+
+    Tasks of one job share a rate without talking to each other: task `turn` of `turns` only moves in its own slots of
+    the clock, so that no two tasks move within a gap, and all of them together keep the rate of one.
+    """
 
-    def __init__(self, start: float = 1.1, status: float = 0.11, clock=time.monotonic, sleep=time.sleep):
+    def __init__(self, start: float = 1.1, status: float = 0.11, clock=time.monotonic, sleep=time.sleep, turn: int = 0, turns: int = 1):
         self._gaps = {"start": start, "status": status}
         self._next = {"start": float("-inf"), "status": float("-inf")}
         self._locks = {"start": threading.Lock(), "status": threading.Lock()}
-        self._clock, self._sleep = clock, sleep
+        self._clock, self._sleep, self._turn, self._turns = clock, sleep, turn, turns
 
     def wait(self, kind: str) -> None:
+        gap = self._gaps[kind]
         with self._locks[kind]:
-            if (left := self._next[kind] - self._clock()) > 0:
-                self._sleep(left)
-            self._next[kind] = self._clock() + self._gaps[kind]
+            now = self._clock()
+            at = max(now, self._next[kind])
+            if self._turns > 1:
+                cycle = gap * self._turns
+                at = max(at, (at - self._turn * gap) // cycle * cycle + self._turn * gap)
+                if at < now or (at - self._turn * gap) % cycle > 1e-6:  # not in a slot of its own: the next one
+                    at = ((at - self._turn * gap) // cycle + 1) * cycle + self._turn * gap
+            if at > now:
+                self._sleep(at - now)
+            self._next[kind] = at + gap
 
 
 def await_task(client: SpeechClient, task: str, poll: float = 5, timeout: float = 1500, pacer: Pacer | None = None, clock=time.monotonic, sleep=time.sleep) -> str:
@@ -157,12 +174,12 @@ def download_verified(client: SpeechClient, uri: str, to: str) -> str:
     return digest.hexdigest()
 
 
-def delete_copies(client: SpeechClient, uris: list[str]) -> list[str]:
-    """SK4: remote copies go; those that stay are returned, as a failure only warns."""
+def delete_copies(client: SpeechClient, copies: list[tuple[str, str]]) -> list[str]:
+    """SK4: remote copies (uri, version) go, each only in the version that was fetched; those that stay are returned, as a failure only warns."""
     left = []
-    for uri in uris:
+    for uri, version in copies:
         try:
-            client.delete(uri)
+            client.delete(uri, version)
         except Exception:  # noqa: BLE001 any client error leaves the copy where it is
             left.append(uri)
     return left
@@ -174,27 +191,46 @@ def check_voice(client: SpeechClient, options: SpeechOptions) -> None:
         raise LecternError(f"voice {options.voice} does not speak with engine {options.engine}")
 
 
+#: What a row says that was not submitted because another one had failed.
+NOT_SUBMITTED = "not submitted: another part failed"
+
+
+def fetch(client: SpeechClient, pacer: Pacer, text: str, key: str, file: str, options: SpeechOptions, sleep=time.sleep) -> str:
+    """SK1-SK4 for one part: submit, await, fetch and verify, copy to its readable key, delete the service's own object. The SHA-256."""
+    pacer.wait("start")
+    uri = await_task(client, client.start(text, key), options.poll_seconds, options.timeout_seconds, pacer, sleep=sleep)
+    version = client.version(uri)
+    sha = download_verified(client, uri, file)
+    client.copy(uri, key)
+    delete_copies(client, [(uri, version)])
+    return sha
+
+
 def speak(rows: DataFrame, client_of, folder: str, options: SpeechOptions, jobs: int = 20) -> DataFrame:
     """SK2, OR1: submit each manifest row and fetch its audio; a row of doc_id, part, file, sha256, error for each.
 
-    At most `jobs` partitions are in flight. client_of() makes a client in the task. Rows that failed carry their
-    error and can be submitted again.
+    The voice is checked before anything is paid for. At most `jobs` partitions are in flight, and together they keep one pace.
+    After a failure no new part is submitted, in any task, and what runs is brought to its end; rows that failed or were not submitted
+    carry their error and can be submitted again. folder is one that all executors share. client_of() makes a client in the task.
     """
+    check_voice(client_of(), options)
+    stop = os.path.join(folder, f".failed-{uuid.uuid4().hex}")
 
     def run(frames):
         import pandas as pd
+        from pyspark import TaskContext
 
-        client, pacer = client_of(), Pacer(1.1 * jobs, 0.11 * jobs)
+        client, pacer = client_of(), Pacer(clock=time.time, turn=TaskContext.get().partitionId(), turns=jobs)
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
                 try:
-                    pacer.wait("start")
-                    uri = await_task(client, client.start(r.text, r.key), options.poll_seconds, options.timeout_seconds, pacer)
-                    sha = download_verified(client, uri, os.path.join(folder, r.file))
-                    delete_copies(client, [uri])
-                    out.append((r.doc_id, r.part, r.file, sha, None))
-                except Exception as e:  # noqa: BLE001 one bad row must not fail those that are paid for
+                    if os.path.exists(stop):
+                        raise LecternError(NOT_SUBMITTED)
+                    out.append((r.doc_id, r.part, r.file, fetch(client, pacer, r.text, r.key, os.path.join(folder, r.file), options), None))
+                except Exception as e:  # noqa: BLE001 one bad row must not lose those that are paid for
+                    os.makedirs(folder, exist_ok=True)
+                    open(stop, "w").close()
                     out.append((r.doc_id, r.part, r.file, None, str(e)))
             yield pd.DataFrame(out, columns=["doc_id", "part", "file", "sha256", "error"])
 

@@ -1,8 +1,10 @@
 """Readers, sinks, the command line and the stream."""
 
 import itertools
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from lectern import schemas
 from lectern.errors import LecternError
@@ -12,6 +14,9 @@ from lectern.sources import readers, sinks
 from lectern.sources.rtf import read_rtf
 from lectern.streaming import narrate
 
+# Workers do not find this module: what tasks need of it travels with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @pytest.mark.parametrize("text", ["Plain {braces} \\ and\nlines", "é ü € — 😀 日本", ""])
 def test_rtf_round_trip(text):
@@ -77,8 +82,26 @@ class Client:
     def size(self, uri):
         return len(self.body)
 
-    def delete(self, uri):
-        self.deleted.append(uri)
+    def version(self, uri):
+        return "v1"
+
+    def copy(self, uri, key):
+        return f"u/readable/{key}"
+
+    def delete(self, uri, version):
+        self.deleted.append((uri, version))
+
+
+class Broken(Client):
+    """A service that refuses one text."""
+
+    def start(self, text, key):
+        if "bad" in text:
+            raise ValueError("refused")
+        return key
+
+    def status(self, task):
+        return "completed", f"u/{task}"
 
 
 def test_speech_helpers(tmp_path):
@@ -99,12 +122,63 @@ def test_speech_helpers(tmp_path):
     assert len(sinks.download_verified(client, "u", str(tmp_path / "a.mp3"))) == 64
     with pytest.raises(LecternError):
         sinks.download_verified(Client(b""), "u", str(tmp_path / "b.mp3"))
-    assert [p.name for p in tmp_path.iterdir()] == ["a.mp3"]
-    assert sinks.delete_copies(client, ["u"]) == [] and client.deleted == ["u"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.mp3"]
+    assert sinks.delete_copies(client, [("u", "v1")]) == [] and client.deleted == [("u", "v1")]
+    got = sinks.fetch(client, sinks.Pacer(0, 0), "t", "k", str(tmp_path / "c.mp3"), sinks.SpeechOptions("b"), sleep=lambda s: None)
+    assert len(got) == 64 and client.deleted[-1] == ("u/k", "v1")
     with pytest.raises(LecternError):
         sinks.check_voice(client, sinks.SpeechOptions("b", voice="Other"))
 
 
+def test_tasks_keep_one_pace_together():
+    """Starts of many tasks that begin at any time are never closer than the gap."""
+    starts = []
+    for turn, begin in enumerate([0.0, 0.3, 5.7, 0.0]):
+        now = [begin]
+
+        def sleep(s, now=now):
+            now[0] += s
+
+        pacer = sinks.Pacer(clock=lambda now=now: now[0], sleep=sleep, turn=turn, turns=4)
+        for _ in range(5):
+            pacer.wait("start")
+            starts.append(now[0])
+            now[0] += 0.01
+    starts.sort()
+    assert min(b - a for a, b in zip(starts, starts[1:], strict=False)) >= 1.1 - 1e-6
+
+
+def test_speech_sink_stops_at_a_failure(spark, tmp_path):
+    options = sinks.SpeechOptions("b", poll_seconds=0)
+    rows = [(i, 1, f"{i}.mp3", "bad" if i == 2 else "good", f"k{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, part int, file string, text string, key string").coalesce(1)
+    got = {r.doc_id: r for r in sinks.speak(df, Broken, str(tmp_path), options, jobs=1).collect()}
+    errors = [got[i].error for i in range(6)]
+    assert errors.count("refused") == 1 and set(errors) == {None, "refused", sinks.NOT_SUBMITTED}
+    for i in range(6):
+        assert (tmp_path / f"{i}.mp3").exists() == (got[i].error is None) == (got[i].sha256 is not None)
+    with pytest.raises(LecternError, match="voice"):
+        sinks.speak(df, Broken, str(tmp_path), sinks.SpeechOptions("b", voice="Other"))
+
+
+def parse(data: bytes):
+    """Each line of a file as a block."""
+    return [{"seq": i, "text": t, "label": "text", "page": 1, "left": 50.0, "top": 700.0 - 50 * i, "right": 550.0, "bottom": 660.0 - 50 * i, "page_width": 612.0, "page_height": 792.0} for i, t in enumerate(data.decode().split("\n"))]
+
+
+def test_command_line_takes_pdfs_with_a_parser(tmp_path, capsys, monkeypatch):
+    (tmp_path / "a.pdf").write_bytes(b"The first line goes on\nin the second.")
+    (tmp_path / "b.txt").write_text("Plain.")
+    assert cli.main(["extract", f"{tmp_path}/a.pdf", "--output", f"{tmp_path}/none"]) == 1
+    assert "need --pdf-parser" in capsys.readouterr().err
+    monkeypatch.setattr(cli, "_parser_of", lambda name: parse)
+    assert cli.main(["make", f"{tmp_path}/a.pdf", f"{tmp_path}/b.txt", "--pdf-parser", "lineparser:parse", "--output", f"{tmp_path}/out"]) == 0
+    from lectern.session import local_session
+
+    texts = {r.text for r in local_session("lectern-cli").read.parquet(f"{tmp_path}/out").collect()}
+    assert texts == {"The first line goes on in the second.", "Plain."}
+
+
 def test_keys(spark):
     from pyspark.sql import functions as F
 
