@@ -83,10 +83,13 @@ def _presence(texts: list[str], end: str = "   ") -> tuple[np.ndarray, np.ndarra
         has[i] = has[i] or any(c.isalpha() for c in low[i])
     out = np.zeros(len(low) * DIMS, dtype=bool)
     base, value = 0, np.zeros(len(codes), dtype=np.uint32)
+    inside = np.ones(len(codes), dtype=bool)  # n-grams that begin here end in the same text
     for n, places in enumerate(PLACES):
+        inside[(ends - n)[(ends >= n) & (n > 0)]] = False
         value = (value[: len(codes) - n] if n else value) * np.uint32(0x01000193)
         value = (value ^ codes[n:]) * np.uint32(0x9E3779B1)
-        out[doc[: len(value)] * DIMS + base + (value >> np.uint32(32 - places.bit_length() + 1))] = True
+        own = inside[: len(value)]
+        out[doc[: len(value)][own] * DIMS + base + (value[own] >> np.uint32(32 - places.bit_length() + 1))] = True
         base += places
     return out.reshape(len(low), DIMS), has
 

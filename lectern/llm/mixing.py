@@ -37,7 +37,7 @@ BLOCK_WORDS = 1 << 16
 SHARDS = 16
 BITS = 60
 #: About so many words of a shard are laid out by one task.
-TASK_WORDS = 4_000_000
+TASK_WORDS = 1_000_000
 
 
 def keyed_hash(seed: str) -> Column:

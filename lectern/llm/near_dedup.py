@@ -396,8 +396,8 @@ def deduplicated(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) ->
         rows = s.keep(rows.where("doc_id IS NOT NULL"))
         first = rows.where("doc_id = component_id").groupBy(F.coalesce("node", "rid").alias("node")).agg(F.min("rid").alias("rid")).select("rid")
         gone = rows.select("doc_id", "rid").join(first, "rid", "left_anti").select("doc_id").unionByName(twice).distinct()
-        gone = materialise(gone.select(F.col("doc_id").alias("__nd_id")))
-        out = docs.join(few(gone), F.col("doc_id") == F.col("__nd_id"), "left_anti")
+        gone = materialise(gone)
+        out = docs.join(few(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
         if twice.isEmpty():
             return out
         again = rows.join(few(twice), "doc_id", "left_semi")
@@ -409,8 +409,8 @@ def deduplicated(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) ->
 def _by_print(docs: DataFrame, stay: DataFrame, width: int) -> DataFrame:
     """One row of docs for each of stay (doc_id, n_shingles, p, q)."""
     names = {c: f"__nd_{i}" for i, c in enumerate(docs.columns)}
-    mine = docs.join(few(stay.select(F.col("doc_id").alias("__nd_id")).distinct()), F.col("doc_id") == F.col("__nd_id"), "left_semi")
-    mine = mine.select(*[F.col(c).alias(n) for c, n in names.items()])
+    mine = docs.join(few(stay.select("doc_id").distinct()), "doc_id", "left_semi")
+    mine = mine.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     text = names["text"]
 
     def run(batches):

@@ -85,14 +85,79 @@ def test_language_of_odd_rows(odd, odd_rows, none):
     assert langid.recognised(odd, model).columns == odd.columns
 
 
-def test_presence_kernel_equals_sets():
-    texts = ["Abc abd", "xyz, xya", ""]
+def _grams(text):
+    """The n-grams of a text that its presence vector stands for: letters lower-cased, all else blank, three blanks behind."""
+    t = "".join(c if c.isalpha() else " " for c in text.lower()) + "   "
+    return {t[k : k + n] for n in (1, 2, 3) for k in range(len(t) - n + 1)}
+
+
+def test_presence_equals_sets_of_grams():
+    """Texts have a place in common just where they have a gram in common; pieces of a long text lose none."""
+    texts = ["Abc abd", "xyz, xya", "", "É, ça 12", "жук", "ab" * 50 + "Q"]
     x, has = langid._presence(texts)
-    assert has.tolist() == [True, True, False]
-    for n, (base, places) in enumerate(zip(np.cumsum([0, *langid.PLACES[:-1]]), langid.PLACES, strict=True), 1):
-        for i, t in enumerate(["abc abd", "xyz  xya", ""]):
-            grams = {(t + "   ")[k : k + n] for k in range(len(t) + 3 - n + 1)}
-            assert 0 < x[i, base : base + places].sum() <= len(grams) + 2
+    assert has.tolist() == [True, True, False, True, True, True]
+    every = sorted(set().union(*map(_grams, texts)))
+    one = {g: langid._presence([g], "")[0][0] for g in every}
+    place = {g: int(np.flatnonzero(v)[np.flatnonzero(v) >= sum(langid.PLACES[: len(g) - 1])][0]) for g, v in one.items()}
+    for row, t in zip(x, texts, strict=True):
+        assert set(np.flatnonzero(row)) == {place[g] for g in _grams(t)}
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdeé ,"), n)) for n in (10, 700, 64, 65, 200)]
+    want = [langid._presence([t]) for t in texts]
+    monkeypatch.setattr(langid, "GROUP_CHARS", 64)
+    got = list(langid.presence(texts))
+    assert [lo for lo, *_ in got] == sorted(lo for lo, *_ in got) and got[-1][1] == len(texts)
+    rows = np.concatenate([x for _, _, x, _ in got])
+    assert (rows == np.concatenate([x for x, _ in want])).all()
+
+
+def test_nystrom_ridge_equals_the_kernel_form():
+    """With every text a landmark, the folded matrix scores as weighted kernel ridge regression on the same kernel does."""
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list(("abcde ", "fghij ")[i % 2] + "xyz"), 40)) for i in range(24)]
+    labels = ["aa" if i % 2 else "bb" for i in range(24)]
+    bits = [np.packbits(row).tobytes() for row in langid._presence(texts)[0]]
+    model = langid.fit(bits, labels, landmarks=24, ridge=1.0)
+    x = langid._presence(texts)[0].astype(float)
+    x /= np.sqrt(x.sum(axis=1))[:, None]
+    kernel = x @ x.T
+    y = np.where(np.array(labels)[:, None] == np.array(model.languages)[None], 1.0, -1.0)
+    lam = 1.0 * 24 / 100
+    # Equal classes, so weights are 1: minimise |K a + b - y|^2 + lam a' K a + lam b^2.
+    a_b = np.linalg.solve(np.block([[kernel @ kernel + lam * kernel + 1e-9 * np.eye(24), kernel @ np.ones((24, 1))], [np.ones((1, 24)) @ kernel, np.array([[24 + lam]])]]), np.vstack([kernel @ y, y.sum(axis=0)]))
+    want = kernel @ a_b[:-1] + a_b[-1]
+    assert np.allclose(x @ model.weights + model.bias, want, atol=1e-3)
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_languages_of_the_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.query(spark, SF).where("held_out").join(docs.select("doc_id", "lang", "text"), "doc_id").where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").collect()
+    assert len(got) > 150 and np.mean([r.lang_pred == r.lang for r in got]) >= 0.98
+
+
+def test_held_out_toxicity_of_the_tables(spark):
+    """Labels have some noise: a few toxic ones mark texts without any toxic word."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.query(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    toxic = [r for r in got if r.toxic == 1]
+    clean = [r for r in got if r.toxic == 0]
+    assert np.mean([r.predicted for r in toxic]) >= 0.9 and np.mean([r.predicted for r in clean]) <= 0.02
+    assert np.mean([r.spans != "" for r in toxic]) >= 0.9
+
+
+def test_held_out_quality_of_the_tables(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality_classifier.query(spark, SF).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r.score for r in got if r.quality == k] for k in (1, 0))
+    assert len(good) > 10 and len(bad) > 10
+    assert np.mean([[1 if g > b else 0.5 if g == b else 0 for b in bad] for g in good]) >= 0.97
 
 
 def test_resampling_keeps_the_largest_keys(spark):
@@ -122,6 +187,16 @@ def test_quality_counts_and_weights_equal_brute_force(spark):
 
     assert raw.sum() == sum(map(n, texts)) and target.sum() == sum(map(n, texts[:2]))
     ratio = quality_classifier.log_ratio(raw, target)
+    share = target.sum() / raw.sum()
+    for place in np.flatnonzero(raw):
+        assert np.isclose(ratio[place], np.log((target[place] + quality_classifier.SMOOTH) / (raw[place] * share + quality_classifier.SMOOTH)))
+    assert not ratio[raw == 0].any()
+    want = {}
+    for i, t in enumerate(texts):
+        places = [p for _, _, ps, _ in quality_classifier.features([(t or "").encode()]) for p in ps.tolist()]
+        want[i] = sum(ratio[p] for p in places)
+    rows = quality_classifier.weigh(docs, ratio).collect()
+    assert all(np.isclose(r.log_weight, want[r.doc_id]) and np.isclose(r.score, 1 / (1 + np.exp(-r.log_weight / max(1, r.n_features) ** 0.5))) for r in rows)
     got = {r.doc_id: r for r in quality_classifier.weigh(docs, ratio).collect()}
     assert [got[i].n_features for i in range(5)] == [n(t) for t in texts] and got[3].log_weight == 0 and got[2].score == 0.5
 

@@ -90,3 +90,32 @@ def test_components_of_a_path_and_a_star(spark, small):
     with Scratch(spark) as s:
         got = {r.node: r.component for r in components(s, spark.createDataFrame(edges, "a long, b long"), small).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 120)}
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    """Copies of one text go, another text of the same id stays, and links run by texts."""
+    rnd = random.Random(8)
+    text = {k: " ".join(f"{k}{rnd.randrange(900)}" for _ in range(90)) for k in "abc"}
+    near = text["c"] + " more"
+    rows = [(1, text["a"]), (1, text["a"]), (1, text["b"]), (2, text["b"]), (3, text["c"]), (4, near), (4, text["a"]), (5, ""), (5, ""), (None, text["a"]), (None, text["a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in nd.deduplicated(docs).collect()), key=str)
+    assert got == sorted([(1, text["a"]), (1, text["b"]), (3, text["c"]), (5, ""), (None, text["a"]), (None, text["a"])], key=str)
+    comp = sorted(((r.doc_id, r.component_id) for r in nd.near_duplicates(docs).collect() if r.doc_id is not None))
+    assert comp == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 3), (4, 1), (4, 3), (5, 5), (5, 5)]
+
+
+def test_clashing_names_are_carried(spark):
+    names = ["doc_id", "text", "rid", "a", "b", "node", "n_shingles", "p", "q", "component_id", "__nd_id"]
+    rows = [(i, f"some words of row {i // 2} here", *(f"{c}{i}" for c in names[2:])) for i in (0, 1, 2, 3, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:]))
+    out = nd.deduplicated(docs)
+    assert out.columns == names and sorted(map(tuple, out.collect())) == sorted([rows[0], rows[2]])
+
+
+def test_recall_of_the_pipelines_stage(spark):
+    """Width 5: near copies at every distance around the threshold; every linked pair by brute force is found."""
+    rows = near_copies(150, [0, 1, 2, 3, 4, 5, 6], 21) + [(1000 + i, t) for i, t in near_copies(60, [2, 3], 5)]
+    want, _ = brute(rows, 5)
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
