@@ -75,6 +75,13 @@ def in_batches(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def delete(spark, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables of one run of an operator, in the shared folder: written once, so that a lost executor costs no finished step.
 
@@ -91,7 +98,7 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         self.tables.clear()
-        self._delete(self.folder)
+        delete(self.spark, self.folder)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and read it back."""
@@ -105,13 +112,7 @@ class Scratch:
         """Delete tables that keep() gave; anything else is left alone."""
         for df in done:
             if id(df) in self.tables:
-                self._delete(self.tables.pop(id(df))[1])
-
-    def _delete(self, path: str) -> None:
-        sc = self.spark.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
+                delete(self.spark, self.tables.pop(id(df))[1])
 
 def lookup_join(df: DataFrame, small: DataFrame, on, rows: int, how: str = "inner") -> DataFrame:
     """Join with a lookup table: broadcast only if its counted rows are few, else shuffled."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lectern.llm import fingerprints, langid, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity, url_filter
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_packing": packing.query,
         "op9_language_id": langid.query,
         "op10_sharding": sharding.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 
