@@ -10,6 +10,7 @@ from lectern.functions import text as X
 from lectern.operators import layout
 
 MOST_COLUMNS, MOST_ROWS, TITLE_CHARS = 4, 25, 180
+UNTITLED = "untitled table"
 YEAR_CELL = r"^\W*(?:FY ?)?(?:19|20)\d\d\W*$"
 ORDINAL = r"^\s*\d{1,2}[.)]?\s*$"
 BLANK = r"^[\s_.…-]*$"
@@ -39,29 +40,29 @@ def text_table(grid: str) -> Column:
 
 
 def table_title(grid: str) -> Column:
-    """TK6: the first non-empty cell, without ``.:;`` at its end, TITLE_CHARS characters at most."""
-    cells = F.filter(F.flatten(F.col(grid)), lambda c: X.strip(c) != "")
-    return F.substring(X.sub(X.strip(F.coalesce(F.get(cells, F.lit(0)), F.lit(""))), r"[.:;\s]+$", ""), 1, TITLE_CHARS)
+    """TK6: the first cell that says something, without ``.:;`` at its end, TITLE_CHARS characters at most."""
+    cells = F.filter(F.transform(F.flatten(F.col(grid)), lambda c: X.sub(X.fold_space(c), r"[.:;]+$", "")), lambda c: c != "")
+    return F.substring(F.coalesce(F.get(cells, F.lit(0)), F.lit(UNTITLED)), 1, TITLE_CHARS)
 
 
 def generic_title(title: Column) -> Column:
-    """FL15."""
-    return title.rlike(r"\d") | F.lower(F.trim(title)).isin(*L.GENERIC_TITLES) | (F.trim(title) == "")
+    """FL15: a title with a digit, or one that is only a column's name."""
+    return title.rlike(r"\d") | F.trim(X.sub(F.lower(title), "[^a-z ]", "")).isin(*L.GENERIC_TITLES)
 
 
 def linearize(grid: str) -> Column:
     """SF47: rows as sentences; merged cells are read once, blank ones not at all; conversions as equations."""
 
     def row(r):
-        cells = F.filter(F.transform(r, lambda c: X.strip(c)), lambda c: ~c.rlike(BLANK))
+        cells = F.filter(F.transform(r, X.fold_space), lambda c: ~c.rlike(r"^_*$"))
         # Neighbours that are equal are one merged cell.
         once = F.filter(cells, lambda c, i: (i == 0) | (c != F.coalesce(F.get(cells, i - 1), F.lit(""))))
-        return F.array_join(F.transform(once, lambda c: X.sub(c, r"[.;\s]+$", "")), ". ")
+        return F.when(F.size(once) > 0, F.concat(X.sub(F.array_join(once, " "), r"[.]+$", ""), F.lit("."))).otherwise(F.lit(""))
 
     clauses = F.filter(F.transform(grid, row), lambda s: s != "")
-    equations = F.transform(F.slice(grid, 2, MOST_ROWS), lambda r: F.concat(X.strip(F.get(r, F.lit(0))), F.lit(" equals "), X.strip(F.get(r, F.lit(1)))))
-    body = F.when(conversion_table(grid), F.array_join(equations, ". ")).otherwise(F.array_join(clauses, ". "))
-    return F.concat(F.lit("Table contents. "), body, F.lit("."))
+    pairs = F.filter(F.slice(grid, 2, F.greatest(F.lit(1), F.size(grid))), lambda r: F.size(r) == 2)
+    equations = F.transform(pairs, lambda r: F.concat(X.strip(F.get(r, F.lit(0))), F.lit(" equals "), X.strip(F.get(r, F.lit(1))), F.lit(".")))
+    return F.concat(F.lit("Table contents. "), F.array_join(F.when(conversion_table(grid), equations).otherwise(clauses), " "))
 
 
 def table_blocks(tables: DataFrame, page_dims: DataFrame, mode: str = "smart") -> DataFrame:
@@ -72,6 +73,7 @@ def table_blocks(tables: DataFrame, page_dims: DataFrame, mode: str = "smart") -
     t = tables.join(page_dims, ["doc_id", "page"])
     read = {"smart": text_table("grid"), "skip": F.lit(False), "linearize": F.lit(True)}[mode]
     title = table_title("grid")
-    notice = F.when(generic_title(title), F.concat(F.lit("Data table omitted page "), F.col("page").cast("string"), F.lit("."))).otherwise(F.concat(F.lit("Data table omitted: "), title, F.lit(".")))
+    page = F.col("page").cast("string")
+    notice = F.when(generic_title(title), F.concat(F.lit("Table omitted page "), page, F.lit("."))).otherwise(F.concat(F.lit("Table omitted: "), title, F.lit(", page "), page, F.lit(".")))
     body = t.withColumn("narrated", read).withColumn("text", F.when(F.col("narrated"), linearize("grid")).otherwise(notice)).withColumn("label", F.lit("note"))
     return body.where(~layout.in_margin()).select("doc_id", "table_no", "text", "label", "page", "left", "top", "right", "bottom", "page_width", "page_height", "narrated")
