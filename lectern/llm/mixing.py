@@ -19,7 +19,7 @@
 
 Defined results: null or empty texts have size 0, are taken 0 words and never drawn; null is a
 source of its own, last; rows with the same doc_id in a source share a fate (all or none of them
-get the fraction's extra copy) and their shards; ties of hashes are ordered by source, epoch and block; very long texts
+get the fraction's extra copy) and their shards, and so do rows of the same text without a doc_id; ties of hashes are ordered by source, epoch and block; very long texts
 count whole, and one that does not fit the room left is not taken for it; an empty table gives an empty
 result; other columns, whatever their names, are carried by `mixed_documents` and ignored by `mix`.
 """
@@ -41,8 +41,8 @@ TASK_WORDS = 1_000_000
 
 
 def keyed_hash(seed: str) -> Column:
-    """60 uniform bits of a document and a seed; md5, so that other engines can repeat it."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    """60 uniform bits of a document and a seed; md5, so that other engines can repeat it. Without a doc_id the text counts."""
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit(""))))))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 
@@ -228,7 +228,7 @@ def allotment(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, sh
 
 
 def _slim(docs: DataFrame, seed: str) -> DataFrame:
-    return materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("h", keyed_hash(seed)))
+    return materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), keyed_hash(seed).alias("h")))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
@@ -243,7 +243,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 
     A document that the mix takes no words of (its text is empty, or its source is cut) is left out.
     """
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("h", keyed_hash(seed))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), keyed_hash(seed).alias("h"))
     dealt, words = _dealt(rows, _slim(docs, seed), weights, max_epochs, shards, block_words, seed)
     tasks = max(1, -(-words // (shards * TASK_WORDS)))
     out = dealt.where("copies > 0").select("row", "h", F.explode("shards").alias("shard"))
@@ -259,7 +259,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, source_size::DOUBLE * 3 AS cap FROM s),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM r),

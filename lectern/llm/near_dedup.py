@@ -56,7 +56,7 @@ RARE = 16
 #: At most so many rows of two or three ids are broadcast (24 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Rows of one part of a pair's first member, on average, when texts are compared.
-STAR = 2000
+STAR = 500
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)[:, None]
