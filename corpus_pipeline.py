@@ -53,7 +53,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, laid out by output shard.
 
     Null and empty texts have no words to take, and go; null is a source of its own, the last; rows of one source that share an id,
-    null too, share their copies (ties).
+    or without one a text, share their copies (ties).
     """
     return mixing.mixed_documents(docs)
 
