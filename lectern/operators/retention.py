@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.errors import LecternError
 from lectern.operators import chunking
 
 KEEP, WINDOW_SECONDS = 15, 408 * 3600
@@ -69,3 +72,42 @@ def finish(state: DataFrame, token: str) -> DataFrame:
 def progress(state: DataFrame) -> DataFrame:
     """AG12: cases by status."""
     return state.groupBy("status").agg(F.count(F.lit(1)).alias("n_cases"))
+
+
+class StateTable:
+    """OR6: the state of a folder's runs, as numbered versions of a table; a version appears as a whole or not at all.
+
+    A writer takes the next number by creating its lock, which only one can do, so that of two runs that read the same version
+    one is refused. The lock of a writer that died before its version was complete counts no more after `stale` seconds.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, stale: float = 600.0):
+        self._spark, self._path, self._stale = spark, path.rstrip("/"), stale
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self._path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _has(self, name: str) -> bool:
+        return self._fs.exists(self._at(f"{self._path}/{name}"))
+
+    def version(self) -> int:
+        """The number of the last complete version; 0 before the first."""
+        n = 0
+        while self._has(f"v{n + 1}/_SUCCESS"):
+            n += 1
+        return n
+
+    def read(self, schema: str) -> tuple[DataFrame, int]:
+        """The last version, or an empty table of the schema, and its number."""
+        n = self.version()
+        return (self._spark.read.schema(schema).parquet(f"{self._path}/v{n}") if n else self._spark.createDataFrame([], schema)), n
+
+    def write(self, state: DataFrame, after: int) -> int:
+        """Write state as the version that follows `after`; refused if another run has it."""
+        lock = self._at(f"{self._path}/v{after + 1}.lock")
+        if self._fs.exists(lock) and not self._has(f"v{after + 1}/_SUCCESS") and time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 > self._stale:
+            self._fs.delete(lock, False)
+        if self.version() != after or not self._fs.createNewFile(lock):
+            raise LecternError(f"another run has changed {self._path}")
+        state.write.mode("overwrite").parquet(f"{self._path}/v{after + 1}")
+        return after + 1
