@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.session import table
+from lectern.session import spread, table
 
 #: A damage is appended by doc_id % 8; 6 replaces the text, 7 is left alone.
 DECORATE = """CASE doc_id % 8
@@ -23,7 +23,7 @@ DECORATE = """CASE doc_id % 8
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:

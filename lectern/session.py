@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "lectern", cores: str | None = None, partitions: int = 8) -> SparkSession:
@@ -25,3 +25,13 @@ def local_session(name: str = "lectern", cores: str | None = None, partitions: i
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Tables of fewer bytes are dealt to all cores before costly passes.
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt to all cores, as its file may be one row group, which one task would read and work on; larger ones as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
