@@ -4,7 +4,8 @@ Rows with equal texts form a group that stays in one shard. Only a group larger
 fair share of all bytes, which no balanced layout can hold, is cut by rank into the fewest equal runs
 that fit (rows of a group have one size; fewer than ``shards`` groups can be so large, so that lookup is bounded).
 Ranks come from counts of hash bins, so no group is ordered in one task, and the shards of units with many rows
-are looked up by broadcast (at most HOT * shards of them), so no such unit meets in one.
+are looked up by broadcast (at most HOT * shards of them), so no such unit meets in one. Sizes of runs follow from
+their group's, so rows are grouped once.
 
 Groups are dealt by hash to parts of about PART groups. In a part, each group starts as a tuple of
 sums (0, ..., 0, bytes); the two tuples of largest spread are combined again and again, one sorted
@@ -12,6 +13,10 @@ up and the other down, until one tuple is left. The parts' tuples are then combi
 way, FAN at a time, until one tuple is left, whose places are the shards. Slots come from exact
 counts per (shard, bin), so no shard is ever sorted as a whole.
 
+Checkpoints are the rows, the groups and the units' shards. A checkpoint writes a file for each partition, empty ones
+too, and where Hadoop has no native library a local folder starts a process for each; so tables of few rows
+are Parquet, which has none for empty partitions, and what joins to the checkpoints is not written at all.
+
 Defined results: a null text has no bytes, CRC 0, and is a group apart from the empty text;
 repeated rows are rows of one group, each with a slot of its own; groups of equal bytes (ties) are taken by their
 text's MD5; very long texts count whole and are never cut, so one over a fair share makes its shard larger; which of
@@ -27,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import lookup_join, materialise
+from lectern.llm.common import Scratch, lookup_join, materialise
 
 SHARDS = 24
 PART = 4096
@@ -71,7 +76,7 @@ def _first(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "key", "run"], ascending=[False, True, True])
         places = difference([[0] * (k - 1) + [int(b)] for b in pdf["bytes"]], k)
-        return pdf.assign(place=[p[k - 1] for p in places])[["key", "run", "bytes", "part", "place"]]
+        return pdf.assign(place=[p[k - 1] for p in places])[["key", "run", "bytes", "n_rows", "part", "place"]]
 
     return run
 
@@ -89,9 +94,15 @@ def _later(k: int):
     return run
 
 
+def _runs(size: int, n: int, runs: int) -> list[tuple[int, int, int]]:
+    """(run, bytes, rows) of each run that `_cut` makes of n rows of this size; with more runs than rows, some have none."""
+    starts = [-(-r * n // runs) for r in range(runs + 1)]
+    return [(r, size * (b - a), b - a) for r, (a, b) in enumerate(zip(starts, starts[1:])) if b > a]
+
+
 def _cut(rows: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
     """rows with the run of each: of a heavy group (key, runs), runs of equal numbers of rows; 0 in other groups."""
-    bins = max(1, n // BIN_ROWS)
+    bins = max(SHARDS, n // BIN_ROWS)
     plain = rows.join(F.broadcast(heavy), "key", "left_anti").withColumn("run", F.lit(0).cast("long"))
     large = rows.join(F.broadcast(heavy), "key").withColumn("__bin", F.pmod(F.xxhash64("rid"), F.lit(bins)))
     counts = large.groupBy("key", "__bin").agg(F.count(F.lit(1)).alias("__n"))
@@ -103,6 +114,28 @@ def _cut(rows: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
     return plain.unionByName(ranked.withColumn("run", F.floor((F.col("__ahead") + F.col("__at")) * F.col("runs") / F.col("__all")).cast("long")).select(*plain.columns))
 
 
+def _places(s: Scratch, units: DataFrame, parts: int, shards: int, fan: int) -> DataFrame:
+    """key, run, n_rows and shard of each unit (key, run, bytes, n_rows), dealt to so many parts first."""
+    placed = s.keep(
+        units.withColumn("part", F.pmod(F.xxhash64("key", "run"), F.lit(parts)))
+        .groupBy("part")
+        .applyInPandas(_first(shards), "key string, run long, bytes long, n_rows long, part long, place long")
+    )
+    level = placed.groupBy("part", "place").agg(F.sum("bytes").alias("bytes"))
+    way = placed.select("key", "run", "n_rows", "part", "place")
+    while parts > 1:
+        up = s.keep(
+            level.withColumn("up", F.floor(F.col("part") / fan).cast("long"))
+            .groupBy("up")
+            .applyInPandas(_later(shards), "part long, place long, up long, place_up long, bytes long")
+        )
+        way = lookup_join(way, up.select("part", "place", "up", "place_up"), ["part", "place"], parts * shards)
+        way = way.select("key", "run", "n_rows", F.col("up").alias("part"), F.col("place_up").alias("place"))
+        level = up.groupBy(F.col("up").alias("part"), F.col("place_up").alias("place")).agg(F.sum("bytes").alias("bytes"))
+        parts = -(-parts // fan)
+    return way.select("key", "run", "n_rows", F.col("place").cast("int").alias("shard"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FAN) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot per row of docs (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
@@ -115,40 +148,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FA
             F.monotonically_increasing_id().alias("rid"),
         )
     )
-    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    groups = materialise(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows")))
+    zero = F.lit(0).cast("long")
+    n, total, n_units = groups.agg(F.coalesce(F.sum("n_rows"), zero), F.coalesce(F.sum("bytes"), zero), F.count(F.lit(1))).first()
     fair = max(1, total // shards)
-    heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > fair)
-    heavy = heavy.select("key", F.ceil(F.col("bytes") / fair).cast("long").alias("runs"))  # fewer than `shards` + 1 rows
-    if heavy.isEmpty():
-        rows = rows.withColumn("run", F.lit(0).cast("long"))
-    else:
-        rows = materialise(_cut(rows, materialise(heavy), n))
-    units = rows.groupBy("key", "run").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n_rows"))
-    units = materialise(units)
-    parts = max(1, -(-units.count() // part))
-    placed = materialise(
-        units.withColumn("part", F.pmod(F.xxhash64("key", "run"), F.lit(parts)))
-        .groupBy("part")
-        .applyInPandas(_first(shards), "key string, run long, bytes long, part long, place long")
-    )
-    level = placed.groupBy("part", "place").agg(F.sum("bytes").alias("bytes"))
-    way = placed.select("key", "run", "part", "place")
-    while parts > 1:
-        up = materialise(
-            level.withColumn("up", F.floor(F.col("part") / fan).cast("long"))
-            .groupBy("up")
-            .applyInPandas(_later(shards), "part long, place long, up long, place_up long, bytes long")
-        )
-        way = lookup_join(way, up.select("part", "place", "up", "place_up"), ["part", "place"], parts * shards)
-        way = way.select("key", "run", F.col("up").alias("part"), F.col("place_up").alias("place"))
-        level = up.groupBy(F.col("up").alias("part"), F.col("place_up").alias("place")).agg(F.sum("bytes").alias("bytes"))
-        parts = -(-parts // fan)
-    way = way.select("key", "run", F.col("place").cast("int").alias("shard"))
+    heavy = [(g.key, g.bytes // g.n_rows, g.n_rows, -(-g.bytes // fair)) for g in groups.where(F.col("bytes") > fair).collect()]  # fewer than `shards` + 1
+    rows, units = rows.withColumn("run", zero), groups.select("key", zero.alias("run"), "bytes", "n_rows")
+    if heavy:
+        spark = docs.sparkSession
+        rows = _cut(rows.drop("run"), spark.createDataFrame([(key, runs) for key, _, _, runs in heavy], "key string, runs long"), n)
+        cut = [(key, *run) for key, size, m, runs in heavy for run in _runs(size, m, runs)]
+        units = units.where(F.col("bytes") <= fair).unionByName(spark.createDataFrame(cut, units.schema))
+        n_units += len(cut) - len(heavy)
+    with Scratch(docs.sparkSession) as s:
+        way = materialise(_places(s, units, max(1, -(-n_units // part)), shards, fan))
     bins = max(1, n // BIN_ROWS)
-    hot = materialise(units.where(F.col("n_rows") > max(1, n // (HOT * shards))).select("key", "run").join(way, ["key", "run"]))
-    found = rows.join(F.broadcast(hot), ["key", "run"])
-    rest = rows.join(F.broadcast(hot.select("key", "run")), ["key", "run"], "left_anti").join(way, ["key", "run"])
-    done = materialise(found.unionByName(rest).select("doc_id", "size", "text_crc32", "shard", "rid", F.pmod(F.xxhash64("rid"), F.lit(bins)).alias("bin")))
+    hot = way.where(F.col("n_rows") > max(1, n // (HOT * shards)))
+    found = rows.join(F.broadcast(hot.select("key", "run", "shard")), ["key", "run"])
+    rest = rows.join(F.broadcast(hot.select("key", "run")), ["key", "run"], "left_anti").join(way.select("key", "run", "shard"), ["key", "run"])
+    done = found.unionByName(rest).select("doc_id", "size", "text_crc32", "shard", "rid", F.pmod(F.xxhash64("rid"), F.lit(bins)).alias("bin"))
     counts = done.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bin", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("offset"))

@@ -2,8 +2,10 @@
 
 import fnmatch
 import hashlib
+import pathlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -238,6 +240,41 @@ def test_sharding_of_nothing_and_of_one_huge_group(spark, none):
     assert n == {k: 250 for k in range(4)}
 
 
+def test_sharding_writes_few_files(spark, tmp_path):
+    """With many partitions: a file for each of the rows and of the groups, and a few; each cost a process in a check that counted executors with their children."""
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, folder = {k: spark.conf.get(k) for k in conf}, sc._jsc.sc().getCheckpointDir()
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        sc.setCheckpointDir(str(tmp_path))
+        docs = spark.range(0, 1200, 1, 10).selectExpr("id doc_id", "case when id % 2 = 0 then 'many' when id % 3 = 0 then 'some' else concat('text ', id) end text")
+        got = sharding.shard(docs, shards=8, part=64, fan=2)
+        rows = got.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        if folder.isDefined():
+            sc.setCheckpointDir(str(pathlib.Path(folder.get().removeprefix("file:")).parent))
+    files = list(tmp_path.rglob("part-*"))
+    assert len(files) <= 10 + 40 + 20, len(files)
+    assert len(rows) == 1200
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    many, some = (Counter(r.shard for r in rows if r.text_crc32 == zlib.crc32(t)) for t in (b"many", b"some"))
+    assert sum(many.values()) == 600 and all(n % 150 == 0 for n in many.values()), many  # 7200 bytes in runs below a fair 1970
+    assert sum(some.values()) == 200 and all(n % 100 == 0 for n in some.values()), some
+
+
+@pytest.mark.parametrize(("n", "runs"), [(1, 1), (1, 5), (7, 3), (10, 4), (12, 4), (2690, 2), (5, 24), (1001, 24)])
+def test_runs_are_what_the_cut_makes(spark, n, runs):
+    want = Counter(k * runs // n for k in range(n))
+    assert sharding._runs(9, n, runs) == [(r, 9 * m, m) for r, m in sorted(want.items())]
+    rows = spark.range(n).selectExpr("'a' key", "id rid").unionByName(spark.range(n, n + 3).selectExpr("'b' key", "id rid"))
+    got = sharding._cut(rows, spark.createDataFrame([("a", runs)], "key string, runs long"), n).groupBy("key", "run").count().collect()
+    assert {(r.key, r.run): r["count"] for r in got} == {("b", 0): 3} | {("a", r): m for r, m in want.items()}
+
+
 def brute_difference(sizes, k):
     """Differencing by its definition, on plain lists of (sum, members)."""
     parts = [[([0, []]) for _ in range(k - 1)] + [[b, [i]]] for i, b in enumerate(sizes)]
