@@ -10,7 +10,10 @@ their group's, so rows are grouped once.
 Groups are dealt by hash to parts of about PART groups. In a part, each group starts as a tuple of
 sums (0, ..., 0, bytes); the two tuples of largest spread are combined again and again, one sorted
 up and the other down, until one tuple is left. The parts' tuples are then combined in the same
-way, FAN at a time, until one tuple is left, whose places are the shards. Slots come from exact
+way, FAN at a time, until one tuple is left, whose places are the shards. Groups that are more than a part's
+share of a shard (fewer than LARGE * shards) no part could even out: they are differenced first, on the driver,
+and each part starts with its share of their sums as one more tuple. Only shards of equal such sums then change places
+between parts (with no large group: all). Slots come from exact
 counts per (shard, bin), so no shard is ever sorted as a whole.
 
 Checkpoints are the rows, the groups and the units' shards. A checkpoint writes a file for each partition, empty ones
@@ -37,6 +40,8 @@ from lectern.llm.common import Scratch, lookup_join, materialise
 SHARDS = 24
 PART = 4096
 FAN = 512
+#: Groups of more than 1 / LARGE of a shard are placed before the parts, and in fewer parts those of more than 1 / parts.
+LARGE = 64
 BIN_ROWS = 100_000
 #: Units of more than 1 / (HOT * shards) of all rows are looked up by broadcast.
 HOT = 64
@@ -72,24 +77,31 @@ def difference(tuples: list[list[int]], k: int) -> list[list[int]]:
     return places
 
 
-def _first(k: int):
+def _first(sums: list[int], rest: int):
+    """Places in a part: the number of the first shard with the same sum of large units, and the number among those; rest: bytes of all parts."""
+    start = [sums.index(x) for x in sums]
+    k = len(sums)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", "key", "run"], ascending=[False, True, True])
-        places = difference([[0] * (k - 1) + [int(b)] for b in pdf["bytes"]], k)
-        return pdf.assign(place=[p[k - 1] for p in places])[["key", "run", "bytes", "n_rows", "part", "place"]]
+        here = int(pdf["bytes"].sum())
+        places = difference([[x * here // rest for x in sums]] + [[0] * (k - 1) + [int(b)] for b in pdf["bytes"]], k)
+        at = {place: j for j, place in enumerate(places[0])}
+        to = [at[p[k - 1]] for p in places[1:]]
+        return pdf.assign(start=[start[j] for j in to], place=[j - start[j] for j in to])[["key", "run", "bytes", "n_rows", "part", "start", "place"]]
 
     return run
 
 
-def _later(k: int):
+def _later(sums: list[int]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = sorted(pdf["part"].unique())
-        sums = {p: [0] * k for p in parts}
+        parts, start, to = sorted(pdf["part"].unique()), int(pdf["start"].iloc[0]), pdf["up"].iloc[0]
+        k = sums.count(sums[start])
+        own = {p: [0] * k for p in parts}
         for p, j, b in zip(pdf["part"], pdf["place"], pdf["bytes"], strict=True):
-            sums[p][j] += int(b)
-        places = difference([sums[p] for p in parts], k)
-        to = pdf["up"].iloc[0]
-        return pd.DataFrame([(p, j, to, places[i][j], sums[p][j]) for i, p in enumerate(parts) for j in range(k)], columns=["part", "place", "up", "place_up", "bytes"])
+            own[p][j] += int(b)
+        places = difference([own[p] for p in parts], k)
+        return pd.DataFrame([(p, start, j, to, places[i][j], own[p][j]) for i, p in enumerate(parts) for j in range(k)], columns=["part", "start", "place", "up", "place_up", "bytes"])
 
     return run
 
@@ -114,26 +126,38 @@ def _cut(rows: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
     return plain.unionByName(ranked.withColumn("run", F.floor((F.col("__ahead") + F.col("__at")) * F.col("runs") / F.col("__all")).cast("long")).select(*plain.columns))
 
 
-def _places(s: Scratch, units: DataFrame, parts: int, shards: int, fan: int) -> DataFrame:
-    """key, run, n_rows and shard of each unit (key, run, bytes, n_rows), dealt to so many parts first."""
+def _places(s: Scratch, units: DataFrame, parts: int, total: int, shards: int, fan: int) -> DataFrame:
+    """key, run, n_rows and shard of each unit (key, run, bytes, n_rows; so many bytes in total), dealt to so many parts."""
+    spark, most = units.sparkSession, max(1, total // (shards * min(parts, LARGE)))
+    large = sorted(units.where(F.col("bytes") > most).collect(), key=lambda u: (-u.bytes, u.key, u.run))
+    places = [p[shards - 1] for p in difference([[0] * (shards - 1) + [u.bytes] for u in large], shards)]
+    sums = [0] * shards
+    for u, place in zip(large, places, strict=True):
+        sums[place] += u.bytes
+    order = sorted(range(shards), key=lambda j: -sums[j])
+    rank, sums = {j: r for r, j in enumerate(order)}, [sums[j] for j in order]
     placed = s.keep(
-        units.withColumn("part", F.pmod(F.xxhash64("key", "run"), F.lit(parts)))
+        units.where(F.col("bytes") <= most)
+        .withColumn("part", F.pmod(F.xxhash64("key", "run"), F.lit(parts)))
         .groupBy("part")
-        .applyInPandas(_first(shards), "key string, run long, bytes long, n_rows long, part long, place long")
+        .applyInPandas(_first(sums, max(1, total - sum(sums))), "key string, run long, bytes long, n_rows long, part long, start long, place long")
     )
-    level = placed.groupBy("part", "place").agg(F.sum("bytes").alias("bytes"))
-    way = placed.select("key", "run", "n_rows", "part", "place")
+    level = placed.groupBy("part", "start", "place").agg(F.sum("bytes").alias("bytes"))
+    way = placed.select("key", "run", "n_rows", "part", "start", "place")
     while parts > 1:
         up = s.keep(
             level.withColumn("up", F.floor(F.col("part") / fan).cast("long"))
-            .groupBy("up")
-            .applyInPandas(_later(shards), "part long, place long, up long, place_up long, bytes long")
+            .groupBy("up", "start")
+            .applyInPandas(_later(sums), "part long, start long, place long, up long, place_up long, bytes long")
         )
-        way = lookup_join(way, up.select("part", "place", "up", "place_up"), ["part", "place"], parts * shards)
-        way = way.select("key", "run", "n_rows", F.col("up").alias("part"), F.col("place_up").alias("place"))
-        level = up.groupBy(F.col("up").alias("part"), F.col("place_up").alias("place")).agg(F.sum("bytes").alias("bytes"))
+        way = lookup_join(way, up.select("part", "start", "place", "up", "place_up"), ["part", "start", "place"], parts * shards)
+        way = way.select("key", "run", "n_rows", F.col("up").alias("part"), "start", F.col("place_up").alias("place"))
+        level = up.groupBy(F.col("up").alias("part"), "start", F.col("place_up").alias("place")).agg(F.sum("bytes").alias("bytes"))
         parts = -(-parts // fan)
-    return way.select("key", "run", "n_rows", F.col("place").cast("int").alias("shard"))
+    way = way.select("key", "run", "n_rows", (F.col("start") + F.col("place")).cast("int").alias("shard"))
+    if not large:
+        return way
+    return way.unionByName(spark.createDataFrame([(u.key, u.run, u.n_rows, rank[p]) for u, p in zip(large, places, strict=True)], way.schema))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FAN) -> DataFrame:
@@ -161,7 +185,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, part: int = PART, fan: int = FA
         units = units.where(F.col("bytes") <= fair).unionByName(spark.createDataFrame(cut, units.schema))
         n_units += len(cut) - len(heavy)
     with Scratch(docs.sparkSession) as s:
-        way = materialise(_places(s, units, max(1, -(-n_units // part)), shards, fan))
+        way = materialise(_places(s, units, max(1, -(-n_units // part)), total, shards, fan))
     bins = max(1, n // BIN_ROWS)
     hot = way.where(F.col("n_rows") > max(1, n // (HOT * shards)))
     found = rows.join(F.broadcast(hot.select("key", "run", "shard")), ["key", "run"])

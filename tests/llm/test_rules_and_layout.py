@@ -266,6 +266,23 @@ def test_sharding_writes_few_files(spark, tmp_path):
     assert sum(some.values()) == 200 and all(n % 100 == 0 for n in some.values()), some
 
 
+@pytest.mark.parametrize(("part", "fan"), [(4096, 512), (64, 512), (64, 2)])
+@pytest.mark.parametrize("copies", [[], [110], [180, 170, 10], [350, 30, 30]])
+def test_shards_are_even_with_large_groups_in_many_parts(spark, part, fan, copies):
+    """A group near a fair share is more than its part can even out: the other parts must leave its shard room."""
+    rng = np.random.default_rng(5)
+    texts = ["x" * int(m) + f" {i}" for i, m in enumerate(rng.integers(0, 60, 1000))] + [f"group {g} " + "y" * 40 for g, m in enumerate(copies) for _ in range(m)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.shard(docs, shards=6, part=part, fan=fan).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    sizes, slots = [0] * 6, [[] for _ in range(6)]
+    for r in rows:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    assert max(sizes) - min(sizes) <= 0.02 * sum(sizes) / 6, sizes
+
+
 @pytest.mark.parametrize(("n", "runs"), [(1, 1), (1, 5), (7, 3), (10, 4), (12, 4), (2690, 2), (5, 24), (1001, 24)])
 def test_runs_are_what_the_cut_makes(spark, n, runs):
     want = Counter(k * runs // n for k in range(n))
