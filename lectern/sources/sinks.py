@@ -72,10 +72,10 @@ def console_url(region: Column) -> Column:
     return F.when(region.isNull(), F.lit(f"https://{base}")).otherwise(F.concat(F.lit("https://"), region, F.lit(f".{base}?region="), F.url_encode(region)))
 
 
-def manifest(docs: DataFrame, name: str = "name", text: str = "narration", options: SpeechOptions | None = None, paragraph: str = r"(?U)\n\s*\n") -> DataFrame:
-    """A row per chunk of docs (doc_id, name, narration): schemas.MANIFEST."""
+def manifest(docs: DataFrame, name: str = "name", text: str = "narration", options: SpeechOptions | None = None, paragraph: str = r"(?U)\n\s*\n", whole: bool = False) -> DataFrame:
+    """A row per chunk of docs (doc_id, name, narration): schemas.MANIFEST. whole: see chunking.chunks."""
     o = options or SpeechOptions(bucket="")
-    parts = chunking.chunk_rows(docs, text, o.max_chars, paragraph).join(docs.select("doc_id", F.col(name).alias("__name")), "doc_id")
+    parts = chunking.chunk_rows(docs, text, o.max_chars, paragraph, whole).join(docs.select("doc_id", F.col(name).alias("__name")), "doc_id")
     n, p, k = F.col("__name"), F.col("part"), F.col("parts")
     return parts.select(
         "doc_id", "part", "parts", audio_key(n, p, k, o.prefix, o.output_format).alias("key"), audio_file(n, p, k, o.append_case, o.output_format).alias("file"),
