@@ -27,7 +27,7 @@ def blocks_from_items(items: DataFrame, page_dims: DataFrame, layer: str = "body
     """FL1, SC8, SC9: body items with provenance as blocks with page sizes.
 
     An item over several pages is split by its character spans, if they are in order, do not overlap
-    and leave out only white space; else it stays whole on its first page.
+    and leave out only white space; else it stays whole on its first page. A page's part may be blank.
     """
     body = items.where((F.col("layer") == layer) & (F.size("prov") > 0))
     gaps = F.expr(
@@ -39,7 +39,7 @@ def blocks_from_items(items: DataFrame, page_dims: DataFrame, layer: str = "body
     each = F.transform("prov", lambda p: F.struct(F.substring(F.col("text"), p["start"] + 1, p["stop"] - p["start"]).alias("text"), *[p[c].alias(c) for c in ("page", "left", "top", "right", "bottom")]))
     parts = F.when((F.size("prov") == 1) | whole, one).otherwise(each)
     rows = body.select("doc_id", F.col("seq").alias("__item"), "label", F.posexplode(parts).alias("__k", "b")).select("doc_id", "__item", "__k", "label", "b.*")
-    rows = rows.withColumn("text", X.strip(F.col("text"))).where((F.col("text") != "") | (F.col("__k") == 0))
+    rows = rows.withColumn("text", X.strip(F.col("text")))
     order = Window.partitionBy("doc_id").orderBy("__item", "__k")
     rows = rows.withColumn("seq", (F.row_number().over(order) - 1).cast("int"))
     return rows.join(page_dims, ["doc_id", "page"]).select(*schemas.BLOCKS.fieldNames())
