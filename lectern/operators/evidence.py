@@ -6,15 +6,17 @@ document and page, and a vectorised fold makes the edits of one block.
 
 from __future__ import annotations
 
+import functools
 import re
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions import text as X
 from lectern.operators import layout
+from lectern.operators.folds import by_document
 
 QUOTES = str.maketrans("‘’‚‛“”„‟", "''''\"\"\"\"")
 
@@ -134,31 +136,82 @@ def amounts(page: str) -> dict[tuple[str, str, str], set[str]]:
     return out
 
 
-def repair_tokens(text: str, page: str | None) -> tuple[str, int, int]:
+def _word(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _stands(flat: str, part: str, inside: Callable[[str], bool]) -> bool:
+    """Whether part is in flat with no character beside it that is `inside` a word."""
+    at = flat.find(part)
+    while at >= 0:
+        end = at + len(part)
+        if not (at and inside(flat[at - 1])) and not inside(flat[end : end + 1]):
+            return True
+        at = flat.find(part, at + 1)
+    return False
+
+
+class Page:
+    """What repairs look up in a page's text, read out of it once for all blocks, and only if one asks."""
+
+    #: So many words are looked for in the text before it is taken apart.
+    FEW = 64
+
+    def __init__(self, text: str):
+        self.flat = " ".join(text.split())
+        self.lines = set(text.split("\n"))
+        self.forms = punctuation_forms(text)
+        self.asked = 0
+
+    @functools.cached_property
+    def known(self) -> set[str]:
+        return set(re.findall(r"[^\W\d_]+", self.flat))
+
+    @functools.cached_property
+    def beside(self) -> set[tuple[str, str]]:
+        return set(re.findall(r"\b([^\W\d_]+) (?=([^\W\d_]+)\b)", self.flat))
+
+    @functools.cached_property
+    def amounts(self) -> dict[tuple[str, str, str], set[str]]:
+        return amounts(self.flat)
+
+    def torn(self, a: str, b: str) -> bool:
+        """Whether a and b are one word here, and never two."""
+        self.asked += 1
+        if self.asked > self.FEW:
+            return a + b in self.known and (a, b) not in self.beside
+        return _stands(self.flat, a + b, _letter) and not _stands(self.flat, f"{a} {b}", _word)
+
+
+def repair_tokens(text: str, page: str | Page | None) -> tuple[str, int, int]:
     """SF40, SF41, JN12: (text, words joined, numbers restored), only where the page has one reading."""
     if not page:
         return text, 0, 0
-    flat = " ".join(page.split())
-    known = set(re.findall(r"[^\W\d_]+", flat))
+    page = page if isinstance(page, Page) else Page(page)
+    flat = page.flat
     words = numbers = 0
-    changed = True
+    # A line that the page has as it is has no torn word or share.
+    changed = own = text not in page.lines
     while changed:
         changed = False
         for m in re.finditer(r"\b([^\W\d_]+) (?=([^\W\d_]+)\b)", text):
             a, b = m[1], m[2]
-            if a + b in known and not re.search(rf"\b{re.escape(a)} {re.escape(b)}\b", flat):
+            if page.torn(a, b):
                 text = text[: m.start()] + a + text[m.end() :]
                 words += 1
                 changed = True
                 break
-    for m in reversed(list(re.finditer(r"(?<![\d.])(\d) (\d+) ?%", text))):
+    for m in reversed(list(re.finditer(r"(?<![\d.])(\d) (\d+) ?%", text)) if own else []):
         whole = f"{m[1]}{m[2]}%"
         if re.search(rf"(?<![\d.]){re.escape(whole)}", flat) and m[0] not in flat:
             text = text[: m.start()] + whole + text[m.end() :]
             numbers += 1
-    found = amounts(flat)
     for m in reversed(list(re.finditer(r"([$€£¥])(\d[\d,]*)\.\s+(thousand|million|billion|trillion)", text))):
-        values = found.get((m[1], m[3], m[2]), set())
+        values = page.amounts.get((m[1], m[3], m[2]), set())
         if len(values) == 1:
             text = text[: m.start()] + f"{m[1]}{next(iter(values))} {m[3]}" + text[m.end() :]
             numbers += 1
@@ -170,7 +223,7 @@ def repair_tokens(text: str, page: str | None) -> tuple[str, int, int]:
 
 def punctuation_forms(page: str) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
     """SF42, ST4: (parts, separators) of hyphened and dashed words, in order, each once. Suspended compounds are no forms."""
-    flat = re.sub("￾\\s*", "-", page)
+    flat = " ".join(w for w in re.sub("￾\\s*", "-", page).split() if "-" in w or "—" in w)
     out: dict[tuple[tuple[str, ...], tuple[str, ...]], None] = {}
     for m in re.finditer(r"(?<![\w-])\w+(?:[-—]\w+)+(?![-—]?\w)(?!-)", flat):
         pieces = re.split(r"([-—])", m[0])
@@ -183,7 +236,7 @@ def repair_forms(text: str, forms: list[tuple[tuple[str, ...], tuple[str, ...]]]
     n = 0
     for parts, separators in forms:
         whole = parts[0] + "".join(s + p for s, p in zip(separators, parts[1:], strict=True))
-        if whole in text:
+        if whole in text or not all(p in text for p in parts):
             continue
         loose = r"\b" + r"(?: ?[-–—] ?)?".join(map(re.escape, parts)) + r"\b"
         found = [m for m in re.finditer(loose, text)]
@@ -195,34 +248,40 @@ def repair_forms(text: str, forms: list[tuple[tuple[str, ...], tuple[str, ...]]]
 
 # The fold over blocks
 
-REPAIRS = "struct<text:string, markers:int, words:int, numbers:int, forms:int>"
-
 
 def repair_blocks(blocks: DataFrame, refs: DataFrame, markers: DataFrame, joins: DataFrame, page_texts: DataFrame) -> DataFrame:
     """Blocks with repaired text and counts removed_markers, joined_words, restored_numbers, restored_forms.
 
-    JN1, JN2 and JN3 gather the evidence of each block by joins on document and page.
+    JN1, JN2 and JN3 gather the evidence of each block by document and page. page_texts without a page has one text that proves all
+    pages of a document. Texts of pages come as rows of their own to the fold, so that none is repeated for each block.
     """
     at = layout.block_refs(blocks, refs, markers).groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("ref_seq", "anchor", "marker"))).alias("__refs"))
     j = joins.select("doc_id", "page", "left_word", "right_word", F.col("left").alias("j_left"), F.col("bottom").alias("j_bottom"))
     s = layout.SLACK
     near = F.col("j_left").between(F.col("left") - s, F.col("right") + s) & F.col("j_bottom").between(F.col("bottom") - s, F.col("top") + s)
-    held = blocks.join(j, ["doc_id", "page"]).where(near).groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct((-F.col("j_bottom")).alias("y"), "j_left", "left_word", "right_word"))).alias("__joins"))
-    df = blocks.join(at, ["doc_id", "seq"], "left").join(held, ["doc_id", "seq"], "left").join(page_texts, ["doc_id", "page"], "left")
-
-    @F.pandas_udf(REPAIRS)
-    def run(text: pd.Series, refs: pd.Series, joins: pd.Series, page: pd.Series) -> pd.DataFrame:
+    boxes = blocks.select("doc_id", "page", "seq", "left", "top", "right", "bottom")
+    held = boxes.join(j, ["doc_id", "page"]).where(near).groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct((-F.col("j_bottom")).alias("y"), "j_left", "left_word", "right_word"))).alias("__joins"))
+    names = schemas.BLOCKS.fieldNames()
+    by_page = "page" in page_texts.columns
+    pages = page_texts.select("doc_id", *(["page"] if by_page else []), F.col("page_text").alias("text"))
+    rows = blocks.select(*names).withColumn("__kind", F.lit("block"))
+    for more, kind in ((at, "refs"), (held, "joins"), (pages, "page")):
+        rows = rows.unionByName(more.withColumn("__kind", F.lit(kind)), allowMissingColumns=True)
+
+    def fold(rows: list[dict]) -> list[dict]:
+        had = {kind: {r["seq"]: r[f"__{kind}"] for r in rows if r["__kind"] == kind} for kind in ("refs", "joins")}
+        pages = {r["page"]: Page(r["text"]) for r in rows if r["__kind"] == "page" and r["text"]}
         out = []
-        for t, r, w, p in zip(text, refs, joins, page, strict=True):
-            t, m = strip_markers(t or "", [(x["anchor"], x["marker"]) for x in (r if r is not None else [])])
-            t, a = apply_word_joins(t, [(x["left_word"], x["right_word"]) for x in (w if w is not None else [])])
-            t, b, n = repair_tokens(t, p)
-            t, f = repair_forms(t, punctuation_forms(p or ""))
-            out.append((t, m, a + b, n, f))
-        return pd.DataFrame(out, columns=["text", "markers", "words", "numbers", "forms"])
-
-    df = df.withColumn("__r", run.asNondeterministic()("text", "__refs", "__joins", "page_text"))
-    return df.select(
-        *[F.col("__r.text").alias("text") if c == "text" else F.col(c) for c in schemas.BLOCKS.fieldNames()],
-        F.col("__r.markers").alias("removed_markers"), F.col("__r.words").alias("joined_words"), F.col("__r.numbers").alias("restored_numbers"), F.col("__r.forms").alias("restored_forms"),
-    )
+        for r in rows:
+            if r["__kind"] != "block":
+                continue
+            page = pages.get(r["page"] if by_page else None)
+            t, m = strip_markers(r["text"] or "", [(x["anchor"], x["marker"]) for x in had["refs"].get(r["seq"], [])])
+            t, a = apply_word_joins(t, [(x["left_word"], x["right_word"]) for x in had["joins"].get(r["seq"], [])])
+            t, b, n = repair_tokens(t, page)
+            t, f = repair_forms(t, page.forms if page else [])
+            out.append({c: r[c] for c in names} | {"text": t, "removed_markers": m, "joined_words": a + b, "restored_numbers": n, "restored_forms": f})
+        return out
+
+    zero = [F.lit(0).alias(c) for c in ("removed_markers", "joined_words", "restored_numbers", "restored_forms")]
+    return by_document(rows, fold, blocks.select(*names, *zero))
