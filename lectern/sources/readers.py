@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.errors import LecternError
 from lectern.functions import text as X
+from lectern.operators.folds import small_batches
 from lectern.sources.rtf import read_rtf
 
 SUFFIXES = (".pdf", ".txt", ".rtf")
@@ -51,6 +52,7 @@ def read_texts(inputs: DataFrame) -> DataFrame:
                 out.append((None, f"RTF: {e}"))
         return pd.DataFrame(out, columns=["text", "error"])
 
+    small_batches(inputs.sparkSession)
     kinds = dispatch(inputs)
     plain = kinds.where("kind = 'txt'").withColumn("narration", decode_text(F.col("content")))
     plain = plain.select("path", "narration", F.when(F.col("narration").isNull(), F.lit("not UTF-8 text")).alias("error"))
